@@ -3,8 +3,8 @@
 Each source gets a target number of words; a document's expected number of copies is the target over
 the source's size. Whole copies are certain; the rest is an inclusion probability, and documents are
 ranked by random odds divided by inclusion odds (Pareto order sampling, Rosén 1997). The sample's size
-is fixed: a source's ranking is taken up to the words that its target still needs, and the one
-document that fits best closes what is left.
+is fixed: a source's ranking is taken up to the words that its target still needs, and
+up to three documents that fit close what is left.
 
 The ranking is never sorted as one group: ranks are cut into bins, sums of bins give the bin in which
 the target is reached, and only that bin's documents are put in order.
@@ -103,16 +103,19 @@ def _mix(sized: DataFrame, bins: int) -> DataFrame:
     inner = inner.withColumn("extra", (F.col("below") + upto <= F.col("rest")).cast("long"))
     outer = marked.where("not (__bin <=> edge) or edge is null").withColumn("extra", F.coalesce(F.col("__bin") < F.col("edge"), F.lit(False)).cast("long"))
     taken = stage_table(outer.unionByName(inner), "taken")
-    # What the ranking leaves short of the target is closed by the one document that fits best, if any helps.
-    short = taken.where("__rank is not null").groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("short"))
-    short = short.select(F.col("source").alias("__s"), "short")
-    off = F.abs(F.col("short") - F.col("size"))
-    last = taken.where("__rank is not null and extra = 0 and size > 0").join(short, F.col("source").eqNullSafe(F.col("__s"))).where(off < F.abs("short"))
-    last = last.groupBy("__s").agg(F.min(F.struct(off.alias("off"), F.col("__rank"), F.col("key"), F.col("row"))).alias("best"))
-    last = last.select("__s", F.col("best.row").alias("last"))
-    done = taken.join(last, F.col("source").eqNullSafe(F.col("__s")), "left")
-    extra = F.col("extra") + F.coalesce((F.col("row") == F.col("last")).cast("long"), F.lit(0))
-    return done.withColumn("copies", F.least(F.col("whole") + extra, F.lit(MOST_COPIES))).drop("__s", "__rank", "__bin", "edge", "below", "whole", "rest", "extra", "last", "row")
+    # What the ranking leaves short of the target is closed by single documents: the largest that
+    # still fits, again, and at last the one that brings the words nearest to the target.
+    for fits in (True, True, False):
+        short = taken.where("__rank is not null").groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("short"))
+        short = short.select(F.col("source").alias("__s"), "short")
+        off = F.abs(F.col("short") - F.col("size"))
+        last = taken.where("__rank is not null and extra = 0 and size > 0").join(short, F.col("source").eqNullSafe(F.col("__s")))
+        last = last.where(F.col("size") <= F.col("short") if fits else off < F.abs("short"))
+        last = last.groupBy("__s").agg(F.min(F.struct(off.alias("off"), F.col("__rank"), F.col("key"), F.col("row"))).alias("best"))
+        taken = taken.join(last.select("__s", F.col("best.row").alias("last")), F.col("source").eqNullSafe(F.col("__s")), "left")
+        taken = taken.withColumn("extra", F.col("extra") + F.coalesce((F.col("row") == F.col("last")).cast("long"), F.lit(0))).drop("__s", "last")
+        taken = stage_table(taken, "taken")
+    return taken.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(MOST_COPIES))).drop("__rank", "__bin", "edge", "below", "whole", "rest", "extra", "row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, bins: int = 1 << 14) -> DataFrame:

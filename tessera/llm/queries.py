@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media, mixing, secrets
+from tessera.llm import langid, media, mixing, packing, secrets
 from tessera.session import table
 
 
@@ -22,12 +22,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_source_mix, op6_secret_scan, op10_matroska)}
+    return {f.__name__: f for f in (op3_language_id, op5_source_mix, op6_secret_scan, op8_lexical_packing, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
