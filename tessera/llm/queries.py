@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media, mixing, packing, secrets
+from tessera.llm import langid, licenses, media, mixing, packing, secrets, urls
 from tessera.session import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_source_mix, op6_secret_scan, op8_lexical_packing, op10_matroska)}
+    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op5_source_mix, op6_secret_scan, op7_url_filter, op8_lexical_packing, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
