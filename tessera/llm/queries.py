@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, media, mixing, packing, secrets, urls
+from tessera.llm import ann, html, langid, licenses, media, mixing, packing, secrets, urls
 from tessera.session import table
 
 
@@ -14,10 +15,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +48,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op5_source_mix, op6_secret_scan, op7_url_filter, op8_lexical_packing, op10_matroska)}
+    return {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_language_id, op4_nearest, op5_source_mix, op6_secret_scan, op7_url_filter, op8_lexical_packing, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
