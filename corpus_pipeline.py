@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, mixing, secrets
+from tessera.llm import langid, mixing, neardup, packing, secrets
 from tessera.session import stage_table, table
 
 
@@ -13,6 +13,11 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return neardup.keep_one(docs)
+
+
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced."""
     return secrets.redact_secrets(docs)
@@ -23,7 +28,12 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-STAGES = [("language", _language), ("secrets", _secrets), ("mix", _mix)]
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents are packed into windows."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", _language), ("near_copies", _near_copies), ("secrets", _secrets), ("mix", _mix), ("packing", _pack)]
 
 #: Trained models, sketches and hash ranks have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

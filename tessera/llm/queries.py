@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, html, langid, licenses, media, mixing, packing, secrets, urls
+from tessera.llm import ann, html, langid, licenses, media, mixing, neardup, packing, secrets, urls
 from tessera.session import table
 
 
@@ -43,13 +43,41 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+OP9 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), edges AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT x, x FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+), smallest AS (
+  SELECT x, min(y) AS component FROM reach GROUP BY x
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest m ON m.x = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_language_id, op4_nearest, op5_source_mix, op6_secret_scan, op7_url_filter, op8_lexical_packing, op10_matroska)}
+    return {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_language_id, op4_nearest, op5_source_mix, op6_secret_scan, op7_url_filter, op8_lexical_packing, op9_shingle_join, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_shingle_join": OP9}
