@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stage_table
+
 # The rules of the filter, as (host suffix, path prefix, verdict).
 RULES = (
     ("net", "/", "block"),
@@ -66,13 +68,14 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.contains("://"), found).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, longest: int = 4, least: int = 30) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, longest: int = 4, least: int = 30, lift: float = 1.2) -> DataFrame:
     """Rules ``rule_id``, ``tokens``, ``verdict``, ``confidence``, ``support`` from columns ``tokens`` and ``label``.
 
     ``support`` is a share of the labelled rows and ``least`` a number of them; both must be met, so the number of frequent tokens is at most the mean
     number of tokens divided by it, whatever the size of the input. ``longest``: items of a rule, the
-    label included. A rule goes if a rule with a subset of its tokens has the same verdict and at least
-    its confidence.
+    label included. A rule goes if its confidence is less than ``lift`` times its verdict's share of all
+    labels, as it then says little, or if a rule with a subset of its tokens has the same verdict and at
+    least its confidence.
     """
     baskets = labelled.select(F.array_append(F.col("tokens"), F.concat(F.lit(_LABEL), F.col("label"))).alias("items"))
     # FP-growth reads its input twice and needs the number of rows
@@ -81,16 +84,17 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     sets = model.freqItemsets.where((F.size("items") <= longest) & (F.col("freq") >= least))
     verdicts = F.filter("items", lambda x: x.startswith(_LABEL))
     split = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL))).alias("tokens"), F.element_at(F.array_append(verdicts, F.lit(None).cast("string")), 1).alias("verdict"), "freq")
-    with_label = split.where("verdict is not null and size(tokens) > 0")
+    share = split.where("verdict is not null and size(tokens) = 0").select("verdict", (F.col("freq") / F.lit(float(max(rows, 1)))).alias("share"))
+    with_label = split.where("verdict is not null and size(tokens) > 0").join(share, "verdict")
     alone = split.where("verdict is null").select("tokens", F.col("freq").alias("of"))
-    rules = with_label.join(alone, "tokens").withColumn("confidence", F.col("freq") / F.col("of")).where(F.col("confidence") >= confidence)
+    rules = with_label.join(alone, "tokens").withColumn("confidence", F.col("freq") / F.col("of")).where((F.col("confidence") >= confidence) & (F.col("confidence") >= F.lit(lift) * F.col("share")))
     rules = rules.select("tokens", F.substring("verdict", len(_LABEL) + 1, 1000).alias("verdict"), "confidence", F.col("freq").alias("support"))
     # subsets share a token: found through the index as well
     items = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("long"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     short = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("short"), F.col("verdict").alias("v"), F.col("confidence").alias("c2"))
     shadowed = items.join(short, ["t", "v"]).where((F.size("short") < F.size("long")) & (F.col("c2") >= F.col("c"))).groupBy("long", "v", "short").agg(F.count(F.lit(1)).alias("n")).where("n = size(short)").select(F.col("long").alias("tokens"), F.col("v").alias("verdict")).distinct()
     kept = rules.join(shadowed, ["tokens", "verdict"], "left_anti")
-    return kept.withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+    return stage_table(kept.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
