@@ -53,7 +53,7 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     def encode(text: str) -> np.ndarray:
         if fast is None or any(x in text for x in special):
             return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode, own.get_vocab_size()
 
@@ -111,10 +111,13 @@ class Shard:
 
     def __init__(self, bags: list[np.ndarray], idf: np.ndarray, mean: float):
         lengths = np.array([len(x) for x in bags])
-        codes = np.sort(np.repeat(np.arange(len(bags), dtype=np.uint64), lengths) << np.uint64(32) | np.concatenate(bags).astype(np.uint64))
+        # (document, term) codes in half the width where both allow it
+        short = len(bags) <= 1 << 16 and bags[0].dtype == np.uint16
+        kind, shift, mask = (np.uint32, 16, 0xFFFF) if short else (np.uint64, 32, 0xFFFFFFFF)
+        codes = np.sort(np.repeat(np.arange(len(bags), dtype=kind), lengths) << kind(shift) | np.concatenate(bags).astype(kind))
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         tf = np.diff(np.append(starts, len(codes)))
-        doc, self.term = (codes[starts] >> np.uint64(32)).astype(np.int64), (codes[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        doc, self.term = (codes[starts] >> kind(shift)).astype(np.int64), (codes[starts] & kind(mask)).astype(np.int64)
         norm = K1 * (1 - B + B * lengths / mean)
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[doc])
         self.doc_at = np.searchsorted(doc, np.arange(len(bags) + 1))
