@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, neardup, packing, secrets
 from tessera.session import stage_table, table
@@ -19,8 +20,11 @@ def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced."""
-    return secrets.redact_secrets(docs)
+    """Secrets in the texts are replaced, and lengths with them."""
+    out = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ SHINGLE = 4
 PERCENT = 85
 BITS = 1024
 GROWTH = 1.5  # of a band's upper size over its lower size
-_CHUNK = 1 << 21  # bytes of text that are hashed in one go
+_CHUNK = 1 << 20  # bytes of text that are hashed in one go
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -70,7 +70,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64)] * len(texts)
     lengths = stops - starts
     first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
     words = np.add.reduceat(_BYTE[joined[inside]] * _places(int(lengths.max()))[place], first)
     words = _mix(words + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     of = np.searchsorted(ends, starts, side="right")

@@ -84,7 +84,7 @@ def alignment_prompts(guideline: DataFrame, structured: DataFrame, mapping: Data
 def merge(structured: DataFrame, guideline: DataFrame, mapping: DataFrame, redundant: DataFrame | None = None) -> DataFrame:
     """All triples under aligned names, merged; weights and confidences 1 where there are none."""
     both = dedup.union_sources(alignment.rewrite_names(guideline, mapping).withColumn("ord", F.lit(0).cast("long")), structured.withColumn("ord", F.lit(1).cast("long")))
-    both = both.withColumn("ord", F.col("ord") * F.lit(1 << 61) + F.pmod(F.xxhash64("head", "relation", "tail", "source"), F.lit(1 << 60)))
+    both = both.withColumn("ord", F.col("ord") * F.lit(1 << 60) + F.pmod(F.xxhash64("head", "relation", "tail", "source"), F.lit(1 << 59)))
     merged = dedup.dedup_triples(both.withColumn("description", F.coalesce("description", F.lit("")))).withColumn("confidence", F.lit(1.0)).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     return merged if redundant is None else dedup.remove_triples(merged, redundant)
 
@@ -157,7 +157,7 @@ class Fusion:
         self._put("merged", merge(self._get("structured"), self._get("guideline"), mapping, self.learned.get("redundant")))
         g = self._get("entities").join(mapping.groupBy(F.col("guideline_entity").alias("name")).agg(F.min("structured_entity").alias("to")), "name", "left").withColumn("name", F.coalesce("to", "name")).drop("to").withColumn("ord", F.lit(0).cast("long"))
         s = self._get("structured_entities").withColumn("description", F.lit("")).withColumn("source", F.lit("medical_kg")).withColumn("ord", F.lit(1).cast("long"))
-        both = g.unionByName(s).withColumn("ord", F.col("ord") * F.lit(1 << 61) + F.pmod(F.xxhash64("name", "type", "description"), F.lit(1 << 60)))
+        both = g.unionByName(s).withColumn("ord", F.col("ord") * F.lit(1 << 60) + F.pmod(F.xxhash64("name", "type", "description"), F.lit(1 << 59)))
         self._put("merged_entities", dedup.merge_entities(both))
 
     def step4(self) -> None:

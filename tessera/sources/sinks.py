@@ -21,7 +21,8 @@ def one_line(x: Column) -> Column:
 def export_nodes(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """One node per name in a triple: the type where it first occurs (heads before tails of the same triple), else
     the entity table's; description and source from the entity table."""
-    ends = triples.select(F.explode(F.array(F.struct(F.col("head").alias("name"), F.col("head_type").alias("t"), (F.col("ord") * 2).alias("o")), F.struct(F.col("tail").alias("name"), F.col("tail_type").alias("t"), (F.col("ord") * 2 + 1).alias("o")))).alias("x")).select("x.*")
+    ord_ = F.coalesce("ord", F.lit(1 << 61))  # rows without an order come last
+    ends = triples.select(F.explode(F.array(F.struct(F.col("head").alias("name"), F.col("head_type").alias("t"), (ord_ * 2).alias("o")), F.struct(F.col("tail").alias("name"), F.col("tail_type").alias("t"), (ord_ * 2 + 1).alias("o")))).alias("x")).select("x.*")
     first = ends.groupBy("name").agg(F.min_by(F.struct("t"), "o")["t"].alias("t"))
     rows = first.join(entities.dropDuplicates(["name"]).select("name", F.col("type").alias("et"), "description", "source"), "name", "left")
     kind = F.coalesce(F.nullif("t", F.lit("")), "et", F.lit(V.DEFAULT_TYPE))
