@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -9,11 +10,15 @@ from tessera.llm import packing
 public = pytest.importorskip("public_tokenizers")
 
 
-def ids_of(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    return np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return np.array(tokenizer().encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
 def verify(rows, docs, window=2048):
