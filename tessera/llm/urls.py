@@ -2,7 +2,8 @@
 
 A URL is a set of tokens. FP-growth finds token combinations that come with a label; rules that have
 enough support and confidence, and aren't implied by a shorter rule as good, are kept in an inverted
-index from token to rules. A rule matches a URL that has all its tokens, counted through the index.
+index that lists each rule under its rarest token. A rule matches a URL that has all its tokens; a URL
+tests the rules listed under its tokens where it is read, and only the best of each list is shuffled.
 Everything is DataFrame and SQL functions.
 """
 
@@ -68,14 +69,13 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.contains("://"), found).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, longest: int = 4, least: int = 30, lift: float = 1.2) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, longest: int = 4, least: int = 30) -> DataFrame:
     """Rules ``rule_id``, ``tokens``, ``verdict``, ``confidence``, ``support`` from columns ``tokens`` and ``label``.
 
     ``support`` is a share of the labelled rows and ``least`` a number of them; both must be met, so the number of frequent tokens is at most the mean
     number of tokens divided by it, whatever the size of the input. ``longest``: items of a rule, the
-    label included. A rule goes if its confidence is less than ``lift`` times its verdict's share of all
-    labels, as it then says little, or if a rule with a subset of its tokens has the same verdict and at
-    least its confidence.
+    label included. A rule goes if a rule with a subset of its tokens has the same verdict and at least
+    its confidence.
     """
     baskets = labelled.select(F.array_append(F.col("tokens"), F.concat(F.lit(_LABEL), F.col("label"))).alias("items"))
     # FP-growth reads its input twice and needs the number of rows
@@ -84,15 +84,16 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     sets = model.freqItemsets.where((F.size("items") <= longest) & (F.col("freq") >= least))
     verdicts = F.filter("items", lambda x: x.startswith(_LABEL))
     split = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL))).alias("tokens"), F.element_at(F.array_append(verdicts, F.lit(None).cast("string")), 1).alias("verdict"), "freq")
-    share = split.where("verdict is not null and size(tokens) = 0").select("verdict", (F.col("freq") / F.lit(float(max(rows, 1)))).alias("share"))
-    with_label = split.where("verdict is not null and size(tokens) > 0").join(share, "verdict")
+    with_label = split.where("verdict is not null and size(tokens) > 0")
     alone = split.where("verdict is null").select("tokens", F.col("freq").alias("of"))
-    rules = with_label.join(alone, "tokens").withColumn("confidence", F.col("freq") / F.col("of")).where((F.col("confidence") >= confidence) & (F.col("confidence") >= F.lit(lift) * F.col("share")))
+    rules = with_label.join(alone, "tokens").withColumn("confidence", F.col("freq") / F.col("of")).where(F.col("confidence") >= confidence)
     rules = rules.select("tokens", F.substring("verdict", len(_LABEL) + 1, 1000).alias("verdict"), "confidence", F.col("freq").alias("support"))
-    # subsets share a token: found through the index as well
-    items = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("long"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    short = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("short"), F.col("verdict").alias("v"), F.col("confidence").alias("c2"))
-    shadowed = items.join(short, ["t", "v"]).where((F.size("short") < F.size("long")) & (F.col("c2") >= F.col("c"))).groupBy("long", "v", "short").agg(F.count(F.lit(1)).alias("n")).where("n = size(short)").select(F.col("long").alias("tokens"), F.col("v").alias("verdict")).distinct()
+    rules = stage_table(rules, "url-rules-all")
+    # a rule has few subsets: each is looked up as a whole
+    nothing = F.array(F.array().cast("array<string>"))
+    subsets = F.aggregate("tokens", nothing, lambda acc, t: F.concat(acc, F.transform(acc, lambda x: F.array_append(x, t))))
+    parts = rules.select(F.col("tokens").alias("long"), "verdict", F.col("confidence").alias("c"), F.explode(F.filter(subsets, lambda x: (F.size(x) > 0) & (F.size(x) < F.size("tokens")))).alias("tokens"))
+    shadowed = parts.join(rules.select("tokens", "verdict", F.col("confidence").alias("c2")), ["tokens", "verdict"]).where("c2 >= c").select(F.col("long").alias("tokens"), "verdict").distinct()
     kept = rules.join(shadowed, ["tokens", "verdict"], "left_anti")
     return stage_table(kept.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "url-rules")
 
@@ -100,14 +101,20 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The best rule of each distinct ``url``: by confidence, then number of tokens, support and rule_id.
 
-    The inverted index (token, rule) meets the URLs' tokens in an equi-join; a rule fits where as many
-    of its tokens were found as it has. The index is small by its support bound, and the planner
-    broadcasts it only while it is under the session's threshold.
+    The index has a row for each token that is the rarest of some rule, with all those rules. It meets
+    the URLs' tokens in an equi-join, and a rule fits where the URL has all its tokens. The index is
+    small by its support bound, and the planner broadcasts it only while it is under the session's
+    threshold.
     """
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("needs"), "verdict", "confidence", "support")
-    hits = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    full = hits.groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("needs").alias("needs"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support")).where("n = needs")
-    best = full.groupBy("url").agg(F.max(F.struct("confidence", "needs", "support", "rule_id", "verdict")).alias("best"))
+    listed = rules.select("rule_id", "tokens", "verdict", "confidence", "support", F.explode("tokens").alias("token"))
+    rarity = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    anchor = listed.join(rarity, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("a"), *(F.first(c).alias(c) for c in ("tokens", "verdict", "confidence", "support")))
+    rule = F.struct("confidence", F.size("tokens").alias("needs"), "support", "rule_id", "verdict", "tokens")
+    index = stage_table(anchor.groupBy(F.col("a.token").alias("token")).agg(F.collect_list(rule).alias("rules")), "url-index")
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    fits = F.filter("rules", lambda r: F.size(F.array_except(r["tokens"], F.col("tokens"))) == 0)
+    first = hits.select("url", F.array_max(F.transform(fits, lambda r: F.struct(*(r[c].alias(c) for c in ("confidence", "needs", "support", "rule_id", "verdict"))))).alias("best")).where("best is not null")
+    best = first.groupBy("url").agg(F.max("best").alias("best"))
     return best.select("url", F.col("best.verdict").alias("mined"), F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"))
 
 

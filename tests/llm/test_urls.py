@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from tessera.llm import urls
@@ -48,3 +49,29 @@ def test_edges(spark):
     assert urls.judge(pages.limit(0), none).count() == 0
     nulls = spark.createDataFrame([(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert urls.judge(pages, nulls).count() == 3
+
+
+def test_rules_of_a_frequent_label_are_kept(spark):
+    # 7 of 8 labels say allow; of the pages under /shop/sale a quarter is blocked, of those with ?q=1 none
+    rows = [(i, f"http://a.example.org/{'shop' if i % 2 else 'news'}/{'sale' if i % 4 == 1 else 'list'}" + ("?q=1" if i % 16 == 5 else "")) for i in range(800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 1)) for i in range(800)], "doc_id long, quality int, toxic int")
+    tokens = pages.join(labels, pages["page_id"] == labels["doc_id"]).selectExpr("url", "if(toxic = 1, 'block', 'allow') label").withColumn("tokens", urls.tokens_of(pages["url"]))
+    table = [(frozenset(r["tokens"]), r["label"]) for r in tokens.collect()]
+    items = sorted({t for s, _ in table for t in s})
+    want = {}
+    for n in (1, 2, 3):
+        for some in itertools.combinations(items, n):
+            inside = [label for s, label in table if s >= set(some)]
+            for v in ("allow", "block"):
+                if inside.count(v) >= 30 and inside.count(v) / len(inside) >= 0.6:
+                    want[some, v] = inside.count(v) / len(inside)
+    want = {(s, v): c for (s, v), c in want.items() if not any(c2 >= c for (s2, v2), c2 in want.items() if v2 == v and set(s2) < set(s))}
+    mined = urls.mine(tokens).collect()
+    assert {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in mined} == want and any(v == "allow" for _, v in want)
+    got = {r["page_id"]: r for r in urls.judge(pages, labels).collect()}
+    rules = [(r["confidence"], len(r["tokens"]), r["support"], r["rule_id"], r["verdict"], set(r["tokens"])) for r in mined]
+    sets = {r["url"]: frozenset(r["tokens"]) for r in tokens.collect()}
+    for i, url in rows:
+        best = max((r for r in rules if r[5] <= sets[url]), key=lambda r: r[:4])
+        assert (got[i]["mined_rule"], got[i]["mined_confidence"], got[i]["verdict"]) == (best[3], best[0], best[4])
