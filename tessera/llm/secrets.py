@@ -104,41 +104,49 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
+def _decoded(text: str, pattern: re.Pattern, begin: int, end: int) -> tuple[str, list[tuple[int, int, int, bool]]]:
+    """``text`` from ``begin`` to ``end`` with its escapes decoded, and pieces (length, start, end, decoded)."""
+    out, pieces, at = [], [], begin
+    for m in pattern.finditer(text, begin, end):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+            pieces.append((m.start() - at, at, m.start(), False))
+        if m[0][0] == "%":
+            raw = bytes.fromhex(m[0].replace("%", ""))
+            k = 0
+            while k < len(raw):  # one character at a time, for its own range
+                n = 1 if raw[k] < 0x80 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
+                try:
+                    c = raw[k : k + n].decode("utf-8")
+                except UnicodeDecodeError:
+                    c, n = chr(raw[k]), 1
+                out.append(c)
+                pieces.append((len(c), m.start() + 3 * k, m.start() + 3 * min(len(raw), k + n), True))
+                k += n
+        else:
+            code = int(m[0][3:-1], 16) if m[0][:3].lower() == "&#x" else int(m[0][2:-1]) if m[0][0] == "&" else int(m[0][2:], 16)
+            c = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+            out.append(c)
+            pieces.append((1, m.start(), m.end(), True))
+        at = m.end()
+    if at < end:
+        out.append(text[at:end])
+        pieces.append((end - at, at, end, False))
+    return "".join(out), pieces
+
+
 def _unescaped(text: str, pattern: re.Pattern) -> Iterator[tuple[str, list[tuple[int, int, int, bool]]]]:
-    """Each run of non-space characters with an escape in it: its decoded text and pieces (length, start, end, decoded)."""
+    """The whole text with its escapes decoded, as a match may go over spaces, and each run of non-space characters
+    with an escape in it, as a match in the whole may begin before the run and take its key."""
     first = pattern.search(text)
+    if first:
+        yield _decoded(text, pattern, 0, len(text))
     while first:
         begin, end = first.start(), first.end()
         while begin and not text[begin - 1].isspace():
             begin -= 1
         end = m.end() if (m := _RUN.match(text, end)) else end
-        out, pieces, at = [], [], begin
-        for m in pattern.finditer(text, begin, end):
-            if m.start() > at:
-                out.append(text[at : m.start()])
-                pieces.append((m.start() - at, at, m.start(), False))
-            if m[0][0] == "%":
-                raw = bytes.fromhex(m[0].replace("%", ""))
-                k = 0
-                while k < len(raw):  # one character at a time, for its own range
-                    n = 1 if raw[k] < 0x80 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
-                    try:
-                        c = raw[k : k + n].decode("utf-8")
-                    except UnicodeDecodeError:
-                        c, n = chr(raw[k]), 1
-                    out.append(c)
-                    pieces.append((len(c), m.start() + 3 * k, m.start() + 3 * min(len(raw), k + n), True))
-                    k += n
-            else:
-                code = int(m[0][3:-1], 16) if m[0][:3].lower() == "&#x" else int(m[0][2:-1]) if m[0][0] == "&" else int(m[0][2:], 16)
-                c = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
-                out.append(c)
-                pieces.append((1, m.start(), m.end(), True))
-            at = m.end()
-        if at < end:
-            out.append(text[at:end])
-            pieces.append((end - at, at, end, False))
-        yield "".join(out), pieces
+        yield _decoded(text, pattern, begin, end)
         first = pattern.search(text, end)
 
 

@@ -88,3 +88,14 @@ def test_query_shape(spark):
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, f"a {TOKEN} b {'0' * 32}"), (2, None), (3, "clean")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in secrets.redact_secrets(docs).collect()) == [(1, "a [SECRET] b [SECRET]"), (2, None), (3, "clean")]
+
+
+@pytest.mark.parametrize("text", ['"token": "\\u0061bcdefgh123"', "password = %70assw0rd123", "password%3A hunter2long", "secret &#61; abcd1234efgh", "a 100%25 &#x74;oken = %61bcdefgh1 b"])
+def test_escapes_and_literal_spaces_around_the_separator(text):
+    kind, a, b = found(f"see {text} end").split(",")[-1].split(":")
+    assert kind == "assign" and 4 <= int(a) < int(b) <= 4 + len(text)
+    assert secrets.redact(f"see {text} end").count("[SECRET]") == 1
+
+
+def test_a_key_before_an_escaped_run_takes_nothing_from_it():
+    assert "assign:7:28" in found("token: api_key%3Ahunter2long").split(",")  # the whole has token: api_key, too short
