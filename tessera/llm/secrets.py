@@ -9,7 +9,6 @@ the original text that they came from.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -35,7 +34,11 @@ _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 _RUN = re.compile(r"\S+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
+_ALPHABETS = (re.compile(r"([A-Za-z0-9+/]{16,})={0,2}"), re.compile(r"([A-Za-z0-9_-]{16,})={0,2}"))
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_PLAIN = str.maketrans("-_", "+/")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 
 Span = tuple[int, int, int]  # start, kind, end: their order is the order of results
 
@@ -80,28 +83,36 @@ class Layer:
         return (0 if lo is None else lo), hi, fresh
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """What is compressed in ``raw`` (gzip, zlib, bzip2 or xz), in whole; None if nothing is."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompress(raw, 31)
-        if raw[:1] == b"\x78" and len(raw) > 2 and not (raw[0] * 256 + raw[1]) % 31:
-            return zlib.decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(raw)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        pass
-    return None
-
-
-def _readable(raw: bytes) -> str | None:
+def _inflate(raw: bytes | memoryview) -> tuple[bytes, int] | None:
+    """What is compressed at the start of ``raw`` (gzip, zlib, bzip2 or xz), in whole, and the bytes it takes; None if nothing is."""
+    out, rest = [], raw
+    while len(rest):
+        if rest[:2] == b"\x1f\x8b":
+            stream = zlib.decompressobj(31)
+        elif rest[:1] == b"\x78" and len(rest) > 2 and not (rest[0] * 256 + rest[1]) % 31:
+            stream = zlib.decompressobj()
+        elif rest[:3] == b"BZh":
+            stream = bz2.BZ2Decompressor()
+        elif rest[:6] == b"\xfd7zXZ\x00":
+            stream = lzma.LZMADecompressor()
+        else:
+            break
+        try:
+            data = stream.decompress(rest)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            break
+        if not stream.eof:
+            break
+        out.append(data)
+        rest = stream.unused_data
+    return (b"".join(out), len(raw) - len(rest)) if out else None
+
+
+def _as_text(raw: bytes) -> str:
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return raw.decode("latin-1")
 
 
 def _decoded(text: str, pattern: re.Pattern, begin: int, end: int) -> tuple[str, list[tuple[int, int, int, bool]]]:
@@ -150,6 +161,16 @@ def _unescaped(text: str, pattern: re.Pattern) -> Iterator[tuple[str, list[tuple
         first = pattern.search(text, end)
 
 
+def _runs(text: str) -> Iterator[re.Match]:
+    """What may be base64 (without its padding: group 1): runs over both alphabets; where a run mixes them, its runs over each."""
+    for m in _BASE64.finditer(text):
+        if ("+" in m[1] or "/" in m[1]) and ("-" in m[1] or "_" in m[1]):
+            for alphabet in _ALPHABETS:
+                yield from alphabet.finditer(text, m.start(), m.end())
+        else:
+            yield m
+
+
 def _children(text: str) -> Iterator[tuple[str, list[tuple[int, int, int, int, bool]]]]:
     """The layers directly inside a text. Pieces refer to positions in that text."""
     for mark, pattern in (("%", _PERCENT), ("\\&", _UNICODE)):
@@ -160,21 +181,35 @@ def _children(text: str) -> Iterator[tuple[str, list[tuple[int, int, int, int, b
                     total += n
                     out.append((total, a, b, 0 if fresh else 1, fresh))
                 yield decoded, out
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        inflated = _inflate(raw)
-        while inflated and (again := _inflate(inflated)) is not None and again != inflated:
-            inflated = again
-        decoded = _readable(raw if inflated is None else inflated)
-        if decoded is not None:
-            plain = inflated is None and decoded.isascii()
-            yield decoded, [(len(decoded), m.start(), m.end(), 3 if plain else 0, True)]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"\S+", m[0])]
+            total, out = 0, []
+            for a, b in lines:
+                total += b - a
+                out.append((total, a, b, 1, False))
+            if total >= 16:
+                yield "".join(text[a:b] for a, b in lines), out
+    for found in _runs(text):
+        run = found[1].translate(_PLAIN)
+        for skip in range(4):  # what comes before the encoded text may have any length
+            n = len(run) - skip
+            n -= n % 4 == 1
+            raw = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
+            a, b = found.start() + skip, found.end()
+            packed = False
+            for m in _PACKED.finditer(raw):
+                inflated = _inflate(memoryview(raw)[m.start() :])
+                if inflated:
+                    packed = packed or not m.start()
+                    data, to = inflated[0], m.start() + inflated[1]
+                    while (again := _inflate(data)) is not None and again[0] != data:
+                        data = again[0]
+                    decoded = _as_text(data)
+                    yield decoded, [(len(decoded), a + m.start() // 3 * 4, b if to == len(raw) else a - (-to * 4 // 3), 0, True)]
+            if not packed:
+                decoded = _as_text(raw)
+                yield decoded, [(len(decoded), a, b, 3 if len(decoded) == len(raw) else 0, True)]
 
 
 def deep_scan(text: str | None) -> tuple[list[Span], list[Span]]:

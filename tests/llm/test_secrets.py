@@ -99,3 +99,41 @@ def test_escapes_and_literal_spaces_around_the_separator(text):
 
 def test_a_key_before_an_escaped_run_takes_nothing_from_it():
     assert "assign:7:28" in found("token: api_key%3Ahunter2long").split(",")  # the whole has token: api_key, too short
+
+
+def test_urlsafe_base64_is_one_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        body = f"{rng.random()} password={rng.getrandbits(64):016x} {rng.random()}".encode()
+        enc = base64.urlsafe_b64encode(zlib.compress(body)).decode().rstrip("=")
+        for text in (enc, f"see {enc} end", f"http://h/a/{enc}", f"http://h/some-long_name/{enc}?x=1"):
+            assert "assign" in found(text), text
+
+
+@pytest.mark.parametrize("before", ["", "a", "ab", "abc", "x/y/", "some/longer/path/z/"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress])
+def test_base64_at_any_alignment(before, pack):
+    enc = base64.b64encode(pack(b"so " + TOKEN.encode() + b" it is")).decode()
+    assert "assign" in found(f"{before}{enc} end")
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("width", [10, 64, 76])
+@pytest.mark.parametrize("pack", [lambda b: b, zlib.compress])
+def test_wrapped_base64_is_joined(newline, width, pack):
+    rng = random.Random(3)
+    enc = base64.b64encode(pack(rng.randbytes(90).hex().encode()[:45] + b" " + TOKEN.encode() + b" " + rng.randbytes(90).hex().encode()[:31])).decode()
+    text = "key: " + newline.join(enc[i : i + width] for i in range(0, len(enc), width)) + "\nand more\n"
+    assign = [x for x in secrets.deep_scan(text)[1] if x[1] == 0]
+    assert assign and all(5 <= a < b <= len(text) - 10 for a, _, b in assign)
+
+
+@pytest.mark.parametrize("odd", ["\u00a0", "\u200b", "\ufeff", "\u3000", "\0", "\x1b"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_layers_with_unprintable_characters_are_scanned(odd, pack):
+    assert "assign" in found(base64.b64encode(pack(f"{odd} {TOKEN} {odd}".encode())).decode())
+    assert "assign" in found(base64.b64encode(pack(f" {TOKEN} \xff".encode("latin-1"))).decode())
+
+
+def test_long_runs_take_linear_time():
+    assert secrets.deep_scan("A" * 300_000 + " " + "AbCd" * 80_000) == ([], [])
