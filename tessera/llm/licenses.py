@@ -4,8 +4,9 @@ Texts are folded to words (runs of letters and digits, lower case). Word shingle
 window of some neighbouring shingles is reduced to minima under several hash functions; a band is one
 of them. Templates are indexed at every window position, texts at every second one: a text window that
 lies in a whole copy of a template is then equal to one of its windows, and with similarity s the
-chance that some band meets is 1 - (1 - s) ** BANDS, 0.999 at s = 0.75 for the five bands used. Windows
-that meet a template's band are verified: the share of the template's shingles in the text around it.
+chance that some band meets is 1 - (1 - s) ** BANDS, 0.999 at s = 0.75 for the five bands used. A template
+shorter than a window must be there in whole, so its first shingle is looked up at every position. Windows
+that meet a template's band, or a short template's shingle, are verified: the share of the template's shingles in the text around it.
 Everything is DataFrame and SQL functions, in the stage that reads the texts; templates are a fixed
 list, so their index is a constant of the plan.
 """
@@ -17,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
 # Sentences by which common licences are declared.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -35,6 +38,13 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-3.0", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -46,6 +56,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, without the prior written permission of the publisher."),
+    ("proprietary", "All rights reserved."),
 )
 
 SHINGLE = 3  # words
@@ -92,8 +103,9 @@ def _least(permuted: Column, at: Column) -> Column:
     return F.array_min(F.slice(permuted, at, F.lit(WIDTH)))
 
 
-def template_index(spark: SparkSession, templates=TEMPLATES) -> list[tuple[int, str, list[int], list[list[int]], int]]:
-    """Of each template: number, licence, distinct shingles, the band values of all its windows, words."""
+def template_index(spark: SparkSession, templates=TEMPLATES) -> list[tuple[int, str, list[int], list[list[int]], int, int | None]]:
+    """Of each template: number, licence, distinct shingles, the band values of all its windows, words, and its
+    first shingle if it is shorter than a window (then there are no band values)."""
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "n int, license string, text string")
     rows = rows.withColumn("h", _hashed(F.col("text"))).withColumn("words", F.size(words(F.col("text"))))
     starts = F.sequence(F.lit(1), F.greatest(F.size("h") - (WIDTH - 1), F.lit(1)))
@@ -103,7 +115,11 @@ def template_index(spark: SparkSession, templates=TEMPLATES) -> list[tuple[int,
 
     bands = [band(b) for b in range(BANDS)]
     got = rows.select("n", "license", F.array_distinct("h").alias("s"), "words", *bands).collect()  # the fixed list
-    return [(r["n"], r["license"], r["s"], [r[f"b{b}"] for b in range(BANDS)], r["words"]) for r in sorted(got)]
+    out = []
+    for r in sorted(got):
+        short = r["words"] < SHINGLE + WIDTH - 1
+        out.append((r["n"], r["license"], r["s"], [[] if short else r[f"b{b}"] for b in range(BANDS)], r["words"], r["s"][0] if short else None))
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -122,23 +138,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def met(b: int, hashes: Column, starts: Column) -> Column:
         return _let(_permuted(hashes, b), lambda p: F.filter(starts, lambda i: _least(p, i).isin(known[b])))
 
+    openings = sorted({t[5] for t in index if t[5] is not None})
+
+    def short(hashes: Column) -> Column:
+        return F.filter(F.transform(hashes, lambda x, i: F.when(x.isin(openings), i + 1)), lambda i: i.isNotNull())
+
     def windows(hashes: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - (WIDTH - 2), F.lit(1)), F.lit(STRIDE))
-        return F.when(F.size(hashes) > 0, _let(starts, lambda s: F.array_distinct(F.concat(*(met(b, hashes, s) for b in range(BANDS))))))
+        return F.when(F.size(hashes) > 0, _let(starts, lambda s: F.array_distinct(F.concat(short(hashes), *(met(b, hashes, s) for b in range(BANDS))))))
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _hashed(text).alias("h"), _let(_hashed(text), windows).alias("at"))
     found = rows.where(F.size("at") > 0).select("doc_id", "h", F.explode("at").alias("at"))
     found = found.select("doc_id", "h", "at", *(_least(_permuted(F.slice("h", F.col("at"), F.lit(WIDTH)), b), F.lit(1)).alias(f"m{b}") for b in range(BANDS)))
     # few windows get here; which templates they met and how much of each is there
-    checks = []
-    for n, name, own, bands, count in index:
-        met_here = _any([F.col(f"m{b}").isin(bands[b]) for b in range(BANDS)])
+    passed, checks = {}, {}
+    for n, name, own, bands, count, opening in index:
+        # a short template's opening is a place where each template that has it may be
+        shared = [x for x in openings if x in own]
+        met_here = _any([*(F.col(f"m{b}").isin(bands[b]) for b in range(BANDS) if bands[b]), *([F.element_at("h", F.col("at")).isin(shared)] if shared else [])])
         start = F.greatest(F.col("at") - count - count // 2, F.lit(1))
         around = F.slice("h", start, F.lit(2 * (count + count // 2) + WIDTH))
         share = F.size(F.array_intersect(around, F.lit(own).cast("array<long>"))) / F.lit(float(len(own)))
-        checks.append(F.when(met_here, F.struct(share.alias("containment"), F.lit(len(own)).alias("size"), F.lit(-n).alias("order"), F.lit(n).alias("template"), F.lit(name).alias("license"))))
+        passed[n] = met_here & (share >= containment)
+        checks[n] = F.struct(share.alias("containment"), F.lit(len(own)).alias("size"), F.lit(-n).alias("order"), F.lit(n).alias("template"), F.lit(name).alias("license"))
+    # a template that is part of another one gives way to it
+    wider = {t[0]: [u[0] for u in index if set(t[2]) < set(u[2])] for t in index}
+    found_here = [F.when(passed[n] & ~_any([passed[u] for u in wider[n]]) if wider[n] else passed[n], checks[n]) for n in checks]
     # each window goes to the template that it holds most of; then the longest, then the first
-    best = F.array_max(F.filter(F.array(*checks), lambda c: c.isNotNull() & (c["containment"] >= containment)))
+    best = F.array_max(F.filter(F.array(*found_here), lambda c: c.isNotNull()))
     verified = found.select("doc_id", "at", best.alias("c")).where("c is not null")
     return verified.groupBy("doc_id", F.col("c.license").alias("license"), F.col("c.template").alias("template")).agg(F.max("c.containment").alias("containment"), (F.min("at") - 1).cast("long").alias("first_word"), F.count(F.lit(1)).alias("hits"))
 
