@@ -15,8 +15,8 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
-    return neardup.keep_one(docs)
+    """One document of each group of copies and near copies (80 % of five-word shingles) stays."""
+    return neardup.keep_one(docs, percent=80, size=5)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

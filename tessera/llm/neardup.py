@@ -160,7 +160,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
         yield keys, texts
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n``, ``sig`` (null for an empty set), ``node``, and, for the first copy of a set that a
     task meets, ``keys`` and ``bits``."""
     kind = "doc_id long, n long, sig binary, node long, keys array<long>, bits array<long>"
@@ -171,7 +171,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         for batch in batches:
             for ids, texts in _chunks(batch):
                 rows = []
-                for key, hashes in zip(ids, shingle_sets(texts)):
+                for key, hashes in zip(ids, shingle_sets(texts, size)):
                     if not len(hashes):
                         rows.append((key, 0, None, None, None, None))
                         continue
@@ -240,7 +240,7 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (100 * low >= percent * high) & ((100 + percent) * _distance(f"bits{a}", f"bits{b}") <= (100 - percent) * both)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose exact sets are linked. Only documents in pairs are hashed again."""
     wanted = stage_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -248,7 +248,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -
     def run(batches):
         for batch in batches:
             for keys, texts in _chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in shingle_sets(texts)], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in shingle_sets(texts, size)], pa.list_(pa.int64()))], schema=schema)
 
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("node", "text")
     sets = stage_table(texts.mapInArrow(run, "node long, shingles array<long>"), "sets")
@@ -257,17 +257,17 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
 
-    Two documents are linked when 100 * intersection >= percent * union of their shingle sets; a
+    Two documents are linked when 100 * intersection >= percent * union of their sets of shingles of ``size`` words; a
     component is the smallest doc_id that links reach. Null, empty and blank texts have no shingles and are
     linked with nothing; a null doc_id stays null and so does its component; repeated rows give repeated
     results; an empty table gives an empty result; other columns are not read. An id is one document: if
     it comes with several texts, one of them stands for it where pairs are verified.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketched = stage_table(sketches(source, percent=percent), "sketches")
+    sketched = stage_table(sketches(source, percent=percent, size=size), "sketches")
     nodes = sketched.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     nodes = stage_table(nodes, "nodes")
     keyed = sketched.where("doc_id is not null").select(F.explode("keys").alias("key"), "node")
@@ -279,7 +279,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     stars = live.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     stars = stage_table(stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b"), "star-pairs")
-    links = stage_table(_verify(stars, nodes, source, percent), "star-links")
+    links = stage_table(_verify(stars, nodes, source, percent, size), "star-links")
     found = stage_table(connected_components(links, "a", "b"), "star-components")
     # what stars didn't join: members of a key's group that are in different components
     labelled = live.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -291,7 +291,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a", "b", percent)).select("a", "b").distinct()
     across = stage_table(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     if across.limit(1).count():
-        more = _verify(across, nodes, source, percent)
+        more = _verify(across, nodes, source, percent, size)
         found = stage_table(connected_components(links.unionByName(more), "a", "b"), "components")
     # the smallest document of each component, then of each set
     placed = nodes.select("sig", "node", "rep").join(found, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("component"))
@@ -302,12 +302,12 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of each component, all columns unchanged.
 
     Of rows that repeat a doc_id one stays; rows without a doc_id stay as they are.
     """
-    classes = join_classes(docs, id_col, text_col, percent)
+    classes = join_classes(docs, id_col, text_col, percent, size)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

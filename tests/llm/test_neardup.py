@@ -116,3 +116,17 @@ def test_one_of_each_group_stays(spark, data):
     assert kept.columns == docs.columns
     want = {c for _, c in brute([(r["doc_id"], r["text"]) for r in docs.collect()]).values()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_other_shingle_sizes_and_thresholds(spark):
+    rows = corpus(random.Random(8), 200, (20, 120))
+    rows += [(1000 + i, " ".join(f"{c}{j}" if j != 25 or k == 0 else "edit" for j in range(50))) for i, (c, k) in enumerate((c, k) for c in "xyz" for k in range(2))]
+    grams = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, t.translate(LOWER).split()) for k, t in rows)}
+    root = {k: k for k in grams}
+    for a, b in combinations(sorted(grams), 2):
+        if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join_classes(docs, percent=80, size=5).collect()}
+    assert got == {k: (len(grams[k]), root[k]) for k in grams} and got[1001][1] == 1000

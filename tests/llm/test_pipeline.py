@@ -45,3 +45,11 @@ def test_near_duplicate_query_matches_its_sql(spark, data):
     want = sorted(con.execute(queries.oracle_sql()["op9_shingle_join"]).fetchall())
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op9_shingle_join(spark, data).collect())
     assert got == want
+
+
+def test_near_copies_are_of_five_words_and_80_percent(spark, data):
+    # one of 50 words replaced: 43 of 51 four-word shingles are shared (0.843), 41 of 51 five-word ones (0.804)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join(words[::-1]))]
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()) == [1, 3]
