@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,30 @@ def pack_groups(items: Column, budget: int, per_item: int = 1) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
+def pack_stream(rows: DataFrame, budget: int, per_item: int = 1) -> DataFrame:
+    """``lang``, ``id``, ``group``: what ``pack_groups`` gives for all items of each ``lang`` (columns ``lang``, ``ord``,
+    ``id``, ``tokens``) by ``ord``, then id. The items of a language stream through a task in order, so a language of any size is
+    packed in constant memory; where a group begins depends on all before it."""
+
+    def run(batches):
+        fresh, key, group, used = True, None, 0, 0
+        for batch in batches:
+            langs, ids, tokens = (batch.column(c).to_pylist() for c in ("lang", "id", "tokens"))
+            groups = []
+            for lang, n in zip(langs, tokens):
+                cost = n + per_item
+                if fresh or lang != key:
+                    fresh, key, group, used = False, lang, 0, cost
+                elif 0 < used and used + cost <= budget:
+                    used += cost
+                else:
+                    group, used = group + 1, cost
+                groups.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.string()), pa.array(groups, pa.int32())], names=["lang", "id", "group"])
+
+    return rows.repartition("lang").sortWithinPartitions("lang", "ord", "id").mapInArrow(run, "lang string, id string, group int")
+
+
 def batches(rows: DataFrame, size: int, order: list[Column], group: list[str] | None = None) -> DataFrame:
     """Adds ``batch``: runs of ``size`` rows in order."""
     w = Window.partitionBy(*(group or [])).orderBy(*order)

@@ -688,11 +688,9 @@ def hierarchical_communities(spark, sf):
 
 @query()
 def budget_groups(spark, sf):
-    """OR2: consecutive groups within a budget, by language; tested by invariants."""
-    d = table(spark, sf, "documents").select("lang", F.struct("doc_id", F.col("doc_id").cast("string").alias("id"), F.size(text.tokens(F.col("text"))).alias("tokens")).alias("x"))
-    top = budget.top_n(d, 500, [F.col("x.doc_id")], ["lang"])
-    packed = top.groupBy("lang").agg(budget.pack_groups(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["id"].alias("id"), x["tokens"].alias("tokens"))), 4000).alias("p"))
-    return packed.select("lang", F.explode("p").alias("p")).select("lang", F.col("p.id").alias("id"), F.col("p.group").alias("group"))
+    """OR2: consecutive groups of all documents within a budget, by language; tested by brute force."""
+    d = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.coalesce(F.size(text.tokens(F.coalesce("text", F.lit("")))), F.lit(0)).alias("tokens"))
+    return budget.pack_stream(d, 4000)
 
 
 @query("SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS BIGINT) AS batch FROM documents")
