@@ -51,3 +51,47 @@ def test_edges(spark):
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(pages).collect())
     assert got == [(0, "t", 1), (1, "", 0), (2, "", 0), (2, "", 0), (4, "u", 1)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+STORY = "Good text, and more of it, that runs on for a while. " * 8
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div style="overflow: hidden"><p>{STORY}</div>', f'<body><div title="a hidden gem"><p>{STORY}</div>', f'<body><p data-x="see hidden">{STORY}</p>', f"<body><div class='layout has-sidebar'><p>{STORY}</div>",
+    f"<body><div class=no-sidebar><p>{STORY}</div>", f"<body><div class=social-science><p>{STORY}</div>", f"<body><div class=sidebar><p>{STORY}</div>", f"<body class=menu-open><main id=search><p>{STORY}</main>",
+    f"<body><nav><ul><li><a href=x>menu</a></ul><article><p>{STORY}</article>", f"<body><nav><ul><li><a href=x>menu</a></ul><div id=c><p>{STORY}</div>", f"<body><header><ul><li><a href=x>menu</a></ul><div id=c><p>{STORY}</div>",
+    f"<body><div class='has-sidebar'><div class=content><p>{STORY}</div><div class=sidebar>Other things, and more.</div></div><div hidden>not shown</div><div style='display: none'>nor this</div>",
+    f"<body><article><section class='related-work'><p>{STORY}</section><section class='related-posts'><p>Another story</section></article>",
+])
+def test_articles_are_not_lost_to_words(page):
+    assert html.main_text(page, []) == STORY.strip()
+
+
+def test_comments_are_less_than_the_article():
+    reply = "Great, really, a comment, with commas, and more. " * 12
+    page = f"<body><div class=story><h1>Head</h1><p>{STORY}</div><div class=comments><div class=item><p>{reply}</div><div class=item><p>{reply}</div></div>"
+    assert html.main_text(page, []) == f"Head {STORY.strip()}"
+
+
+def test_host_vote_decides_without_articles(spark):
+    def page(i, story, thread):
+        return f"<body><div class='post-{i}'><h1>Head {i}</h1><p>{story}</p></div><div class='thread-{i}'><p>{thread}</p></div></body>"
+
+    long_thread = "Words, and words, in a long thread, of readers. " * 40
+    rows = [(i, "http://h.org/a", page(i, STORY, "one reply" if i % 4 else long_thread)) for i in range(20)]
+    alone = {i: html.main_text(p, []) for i, _, p in rows}
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} {STORY.strip()}" for i in got} and len(got) == 20
+    assert {i for i in got if got[i] != alone[i]} == {0, 4, 8, 12, 16}
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000, "<div>" * 20_000, "<div>" * 20_000 + "</p></i>" * 20_000, "<b><i>x</b>" * 20_000, "<div><b>" * 10_000 + "<p>x" * 10_000, "<td>" * 20_000, "<li><ul>" * 10_000 + "</li>" * 10_000, '<a "' * 20_000, "<a '>" * 20_000])
+def test_deep_and_unclosed_pages_take_linear_time(page):
+    import time
+
+    took = []
+    for p in (page, page * 4):
+        began = time.process_time()
+        html.main_text(p + "end", [">body>div"])
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
