@@ -137,3 +137,45 @@ def test_layers_with_unprintable_characters_are_scanned(odd, pack):
 
 def test_long_runs_take_linear_time():
     assert secrets.deep_scan("A" * 300_000 + " " + "AbCd" * 80_000) == ([], [])
+
+
+def _bare(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+NOISE = random.Random(1).randbytes(300)
+
+
+@pytest.mark.parametrize("raw", [
+    TOKEN.encode("utf-16"), f"hello {TOKEN}".encode("utf-16-be"), f"x {TOKEN}".encode("utf-32-le"), NOISE + TOKEN.encode() + NOISE, gzip.compress(b"one") + gzip.compress(TOKEN.encode()), gzip.compress((TOKEN + " ").encode() + NOISE)[:-40], _bare(TOKEN.encode() * 3),
+    gzip.compress(gzip.compress(zlib.compress(TOKEN.encode()))), zlib.compress(TOKEN.encode()) + b"tail", base64.b64encode(base64.b64encode(gzip.compress(TOKEN.encode()))),
+])
+def test_layers_of_bytes(raw):
+    text = f"lead {base64.b64encode(raw).decode()} tail"
+    got = [x for x in secrets.deep_scan(text)[1] if x[1] == 0]
+    assert got and all(5 <= a < b <= len(text) - 5 for a, _, b in got)
+
+
+@pytest.mark.parametrize("text", ["pass" + "%" + "25" * 50_000 + "77ord=hunter2hunter2", "\\" + "u005c" * 5_000 + "u0070assword=hunter2hunter2", "&#37;" * 20_000 + " token=abcdefgh1", "%%32" * 25_000 + "35 token=abcdefgh1", "%" * 100_000 + " token=abcdefgh1"])
+def test_deep_escapes_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    assert "assign" in found(text)
+    assert time.process_time() - began < 5
+
+
+def test_the_fixpoint_is_reached_at_any_depth():
+    for depth in (1, 2, 7, 8, 9, 30):
+        text = "x %" + "25" * depth + "74oken=abcdefgh1 y"
+        assert f"assign:2:{len(text) - 2}" in found(text).split(","), depth
+
+
+def test_compression_bombs_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 20)
+    data = bytes(5 << 20) + TOKEN.encode() + bytes(5 << 20)
+    enc = base64.b64encode(gzip.compress(gzip.compress(data))).decode()
+    assert "assign" in found(enc)
+    monkeypatch.setattr(secrets, "MOST", 1 << 20)  # beyond the budget nothing more comes, and nothing breaks
+    assert found(enc) == ""
