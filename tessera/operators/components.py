@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stage_table
+from tessera.session import stage_table, unstage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,24 +18,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating large-star and small-star (Kiveris et al. 2014): each node's neighbours are linked to
     the smallest of them until every component is a star, in a number of rounds that grows with the
-    logarithm of the input for paths as well. Minima are pre-aggregated before each shuffle, each round
-    is a written table, and nothing but a count and a hash of the edges reaches the driver. Null ends
+    logarithm of the input for paths as well. Minima are pre-aggregated before each shuffle, each half of a
+    round is a written table, and nothing but a count and a hash of the edges reaches the driver. Null ends
     are left out; loops make their node a component of its own.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     now = stage_table(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _mark(now)
     while True:
+        last = now
         proper = now.where("u <> v")
         both = proper.select("u", "v").unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large-star-minima")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         loops = now.where("u = v").select("u", "v")
         large = stage_table(large.unionByName(loops), "large-star")
         proper = large.where("u <> v")
-        least = stage_table(proper.groupBy("u").agg(F.min("v").alias("m")), "small-star-minima")
+        least = proper.groupBy("u").agg(F.min("v").alias("m"))
         small = proper.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stage_table(small.unionByName(large.where("u = v").select("u", "v")).distinct(), "small-star")
+        unstage(last, large)
         after = _mark(now)
         if after == before:
             break

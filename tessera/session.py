@@ -47,12 +47,33 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage beyond files that survive the loss of any executor, and statistics that
-    let the planner choose between a broadcast and a shuffle by the table's true size.
+    let the planner choose between a broadcast and a shuffle by the table's true size. It stays until it is
+    given to ``unstage``, or ``clear_stages`` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables. Only for tables that nothing reads any more: all that was made from them has to be
+    staged itself, so that no lost task can ask for them again."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            _delete(t.sparkSession, path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all staged tables of the shared folder, at the end of a job: results that read them end as well."""
+    _delete(spark, f"{shared_folder(spark)}/stage")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
