@@ -5,7 +5,8 @@ each shingle flips bits of one part, so the number of parts in which two sketche
 Hamming distance of a parity bit sketch, are at most the size of the sets' symmetric difference. The
 Jaccard threshold bounds that difference within a band of set sizes. With more parts than the bound
 some parts must be equal (pigeonhole), so documents meet by equal parts in a join per size band. What
-meets is filtered by the bit sketch's Hamming distance and verified on the exact sets.
+meets is filtered by the bit sketch's Hamming distance, which for large sets is that of a sketch as wide as the
+set, and verified on the exact sets.
 
 Copies with equal sets are one node. Links are first looked for between the members of a part's group
 and a pivot of the group; then, across components only, between all others, so that large groups of
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import stage_table
+from tessera.session import stage_table, unstage
 
 SHINGLE = 4
 PERCENT = 85
-BITS = 1024
+BITS = 1024  # of every set's sketch; larger sets have one of at least as many bits as shingles besides
+PIVOTS = 4  # orders of nodes by which the pivots of keys are chosen
 GROWTH = 1.5  # of a band's upper size over its lower size
 _CHUNK = 1 << 20  # bytes of text that are hashed in one go
+_MET = 1 << 20  # sets that a task remembers, so as not to give their keys again
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,55 +143,75 @@ def part_keys(hashes: np.ndarray, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def parity_bits(hashes: np.ndarray) -> list[int]:
-    """A sketch of BITS parity bits, as signed 64-bit words."""
-    odd = np.bincount((hashes >> np.uint64(3) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def parity_bits(hashes: np.ndarray, bits: int = BITS) -> list[int]:
+    """A sketch of so many parity bits (a power of two), as signed 64-bit words. Halves that are XORed give the sketch of
+    half as many bits."""
+    odd = np.bincount((hashes >> np.uint64(3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    keys, texts, weight = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+def wide_bits(hashes: np.ndarray) -> list[int] | None:
+    """A sketch with at least a bit for each shingle; None where BITS are as many. In BITS bits, large sets that have nothing
+    in common differ no more than linked ones may; in this they do."""
+    return parity_bits(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > BITS else None
+
+
+def _sig(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _node(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The batch's texts (column 1) in runs of bounded size, each with the row that it begins at."""
+    first, texts, weight = 0, [], 0
+    for text in batch.column(1):
         raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-        keys.append(key)
         texts.append(raw)
         weight += len(raw)
         if weight >= _CHUNK:
-            yield keys, texts
-            keys, texts, weight = [], [], 0
-    if keys:
-        yield keys, texts
+            yield first, texts
+            first, texts, weight = first + len(texts), [], 0
+    if texts:
+        yield first, texts
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``n``, ``sig`` (null for an empty set), ``node``, and, for the first copy of a set that a
-    task meets, ``keys`` and ``bits``."""
-    kind = "doc_id long, n long, sig binary, node long, keys array<long>, bits array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """``doc_id``, ``version`` (a hash of the text: an id may come with several), ``n``, ``sig`` (null for an empty set),
+    ``node``, and, for the first copy of a set that a task meets, ``keys``, ``bits`` and ``wide``."""
+    kind = "doc_id long, version long, n long, sig binary, node long, keys array<long>, bits array<long>, wide array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
 
     def run(batches):
         met: set[bytes] = set()
         for batch in batches:
-            for ids, texts in _chunks(batch):
+            for first, texts in _chunks(batch):
                 rows = []
-                for key, hashes in zip(ids, shingle_sets(texts, size)):
+                for hashes in shingle_sets(texts, size):
                     if not len(hashes):
-                        rows.append((key, 0, None, None, None, None))
+                        rows.append((0, None, None, None, None, None))
                         continue
-                    sig = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                    node, fresh = int.from_bytes(sig[:8], "little", signed=True), sig not in met
-                    met.add(sig)
-                    rows.append((key, len(hashes), sig, node, part_keys(hashes, percent) if fresh else None, parity_bits(hashes) if fresh else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    sig = _sig(hashes)
+                    node, fresh = _node(sig), sig not in met
+                    if fresh and len(met) < _MET:
+                        met.add(sig)
+                    rows.append((len(hashes), sig, node, *((part_keys(hashes, percent), parity_bits(hashes), wide_bits(hashes)) if fresh else (None, None, None))))
+                ids = [batch.column(i).slice(first, len(texts)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:]))], schema=schema)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, kind)
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")).mapInArrow(run, kind)
 
 
 def _meet(keyed: DataFrame) -> DataFrame:
     """``key``, ``node``, ``pivot`` of all nodes whose part key another node has.
 
     Rows come in the order of keys, so a group of any size streams through its task; a pivot is the
-    group's member with the least hash (of those in the group's first batch), another for each key.
+    group's member with the least hash (of those in the group's first batch) under one of PIVOTS orders, so that the
+    keys of a group of near copies have few pivots among them.
     """
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64())])
 
@@ -198,7 +221,7 @@ def _meet(keyed: DataFrame) -> DataFrame:
             key, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             if not len(key):
                 continue
-            rank = _mix((node ^ key).astype(np.uint64))
+            rank = _mix(node.astype(np.uint64) ^ _mix((key & (PIVOTS - 1)).astype(np.uint64) + np.uint64(1)))
             order = np.lexsort((node, rank, key))
             key, node = key[order], node[order]
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
@@ -240,46 +263,71 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (100 * low >= percent * high) & ((100 + percent) * _distance(f"bits{a}", f"bits{b}") <= (100 - percent) * both)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose exact sets are linked. Only documents in pairs are hashed again."""
-    wanted = stage_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+def _far_apart(x: Column, y: Column) -> Column:
+    """The distance of two wide sketches, the wider one folded to the other's width. Linked sets are less than a power of
+    two apart in size."""
+
+    def folded(a: Column, width: Column) -> Column:
+        half = F.zip_with(F.slice(a, 1, width), F.slice(a, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) > width, half).otherwise(a)
+
+    width = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(folded(x, width), folded(y, width), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+
+
+def _still_near(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, na, b, nb) that wide sketches (``wide``: node, bits) allow to be linked; all pairs with a set that has none."""
+    small = F.least("na", "nb") <= BITS
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("node").alias(end), F.col("wide").alias(f"wide{end}")), end, "left")
+    apart = (100 + percent) * _far_apart(F.col("widea"), F.col("wideb")) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return pairs.where(small | apart).select("a", "b")
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int, repeated: bool) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose exact sets are linked. Only documents in pairs are hashed again; ``repeated``: rows
+    of ``docs`` may be equal in id and text."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep", "version"), "node")
+    wanted = stage_table(wanted, "wanted")
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for keys, texts in _chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in shingle_sets(texts, size)], pa.list_(pa.int64()))], schema=schema)
+            for first, texts in _chunks(batch):
+                nodes = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in shingle_sets(texts, size)], pa.list_(pa.int64()))], schema=schema)
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("node", "text")
-    sets = stage_table(texts.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    texts = docs.join(wanted, (docs["doc_id"] == wanted["rep"]) & (F.xxhash64(docs["text"]) == wanted["version"])).select("node", "text")
+    sets = stage_table((texts.dropDuplicates(["node"]) if repeated else texts).mapInArrow(run, "node long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
-
-    Two documents are linked when 100 * intersection >= percent * union of their sets of shingles of ``size`` words; a
-    component is the smallest doc_id that links reach. Null, empty and blank texts have no shingles and are
-    linked with nothing; a null doc_id stays null and so does its component; repeated rows give repeated
-    results; an empty table gives an empty result; other columns are not read. An id is one document: if
-    it comes with several texts, one of them stands for it where pairs are verified.
-    """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketched = stage_table(sketches(source, percent=percent, size=size), "sketches")
-    nodes = sketched.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
-    nodes = stage_table(nodes, "nodes")
+    links = stage_table(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    unstage(wanted, sets)
+    return links
+
+
+def _classes(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The sketches of all rows (doc_id, text); ``sig``, ``component`` (a node) and the set's first document (``rep``, ``version``)
+    of all sets; and if any rows are equal in id and text."""
+    sketched = stage_table(sketches(docs, percent=percent, size=size), "sketches")
+    repeated = sketched.where("doc_id is not null").groupBy("doc_id", "version").count().where("count > 1").limit(1).count() > 0
+    first = F.min(F.struct("doc_id", "version")).alias("first")
+    nodes = sketched.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("node").alias("node"), first, F.min("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    nodes = stage_table(nodes.select("sig", "node", F.col("first.doc_id").alias("rep"), F.col("first.version").alias("version"), "n", "bits"), "nodes")
     keyed = sketched.where("doc_id is not null").select(F.explode("keys").alias("key"), "node")
     live = stage_table(_meet(keyed), "live")
+    wide = stage_table(sketched.where("wide is not null and doc_id is not null").groupBy("node").agg(F.first("wide").alias("wide")), "wide")
+    whole, sketched = sketched, stage_table(sketched.select("doc_id", "version", "n", "sig"), "rows")
+    unstage(whole)
     traits = nodes.select("node", "n", "bits")
 
     def side(name: str) -> DataFrame:
         return traits.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
 
     stars = live.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    stars = stage_table(stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b"), "star-pairs")
-    links = stage_table(_verify(stars, nodes, source, percent, size), "star-links")
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b", "na", "nb")
+    stars = stage_table(_still_near(stars, wide, percent), "star-pairs")
+    links = _verify(stars, nodes, docs, percent, size, repeated)
     found = stage_table(connected_components(links, "a", "b"), "star-components")
     # what stars didn't join: members of a key's group that are in different components
     labelled = live.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -288,14 +336,38 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_rows = stage_table(labelled.join(mixed, "key").join(traits, "node"), "open")
     left = open_rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
     right = open_rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a", "b", percent)).select("a", "b").distinct()
-    across = stage_table(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a", "b", percent)).select("a", "b", "na", "nb").distinct()
+    across = stage_table(_still_near(across.join(stars, ["a", "b"], "left_anti"), wide, percent), "cross-pairs")
+    unstage(live, labelled, open_rows, stars, wide)
     if across.limit(1).count():
-        more = _verify(across, nodes, source, percent, size)
-        found = stage_table(connected_components(links.unionByName(more), "a", "b"), "components")
+        more = _verify(across, nodes, docs, percent, size, repeated)
+        # components of components: what stars have joined is one node now
+        for end in ("a", "b"):
+            more = more.join(found.select(F.col("node").alias("__n"), "component"), F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("component", end)).drop("__n", "component")
+        joined = stage_table(connected_components(more, "a", "b").withColumnsRenamed({"node": "__part", "component": "__whole"}), "joined-components")
+        members = found.join(joined, F.col("component") == F.col("__part"), "left").select("node", F.coalesce("__whole", "component").alias("component"))
+        # nodes that no star link has touched are their own part
+        found = stage_table(members.unionByName(joined.join(found, F.col("__part") == F.col("node"), "left_anti").select(F.col("__part").alias("node"), F.col("__whole").alias("component"))), "components")
+    placed = stage_table(nodes.join(found, "node", "left").select("sig", "rep", "version", F.coalesce("component", "node").alias("component")), "placed")
+    unstage(nodes, found, links, across)
+    return sketched, placed, repeated
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+
+    Two documents are linked when 100 * intersection >= percent * union of their sets of shingles of ``size`` words; a
+    component is the smallest doc_id that links reach. Null, empty and blank texts have no shingles and are
+    linked with nothing; a null doc_id stays null and so does its component; repeated rows give repeated
+    results; an empty table gives an empty result; other columns are not read. Rows that share an id and differ in
+    text are documents of their own, each with the links of its own text.
+    """
+    sketched, placed, _ = _classes(_source(docs, id_col, text_col), percent, size)
     # the smallest document of each component, then of each set
-    placed = nodes.select("sig", "node", "rep").join(found, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("component"))
-    placed = stage_table(placed, "placed")
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = stage_table(placed.join(smallest, "component").select(F.col("sig").alias("__sig"), "component_id"), "classes")
     out = sketched.select("doc_id", "n", "sig").join(by_set, F.col("sig") == F.col("__sig"), "left")
@@ -305,9 +377,17 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of each component, all columns unchanged.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay as they are.
+    Of an id's texts in one component the one with the smallest hash stays; texts of an id in different components
+    are different documents. Of rows equal in id and text one stays. Documents without shingles (null, empty and blank
+    texts) are linked with nothing and stay; rows without an id stay as they are; an empty table stays empty; columns
+    may have any names that don't begin with two underscores.
     """
-    classes = join_classes(docs, id_col, text_col, percent, size)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    sketched, placed, repeated = _classes(_source(docs, id_col, text_col), percent, size)
+    first = placed.groupBy("component").agg(F.min(F.struct("rep", "version")).alias("f")).select(F.col("f.rep").alias("__id"), F.col("f.version").alias("__version"))
+    alone = sketched.where("sig is null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+    kept = first.unionByName(alone.distinct())
+    rows = docs.withColumns({"__doc": F.col(f"`{id_col}`").cast("long"), "__text": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    named = rows.join(kept, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__version")), "left_semi")
+    if repeated:
+        named = named.dropDuplicates(["__doc", "__text"])
+    return named.unionByName(rows.where(F.col(f"`{id_col}`").isNull())).drop("__doc", "__text")

@@ -130,3 +130,27 @@ def test_other_shingle_sizes_and_thresholds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join_classes(docs, percent=80, size=5).collect()}
     assert got == {k: (len(grams[k]), root[k]) for k in grams} and got[1001][1] == 1000
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    a2, b2 = [*a[:30], "x", *a[30:]], [*b[:30], "y", *b[30:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a2)), (3, " ".join(b2)), (1, " ".join(a)), (4, " ".join(a[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect())
+    assert got == sorted({rows[0], rows[1], rows[5]})
+    classes = sorted((r["doc_id"], r["component_id"]) for r in neardup.join_classes(docs).collect())
+    assert classes == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    # a text whose first id has another text too is compared by its own set alone
+    mixed = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(a2[:20])), (2, " ".join(a2)), (3, " ".join(b))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.join_classes(mixed).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_keep_one_edges(spark):
+    same = "one two three four five six"
+    rows = [(1, None, 1), (1, None, 2), (2, "", 3), (3, " \n", 4), (4, same, 5), (5, same, 6), (4, same, 7), (None, same, 8), (None, None, 9), (7, "w " * 60_000, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int").selectExpr("*", "1 key", "2 sig", "3 version", "4 rep")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept.collect()) == sorted([(0, ""), (0, "one"), (1, ""), (2, ""), (3, " \n"), (4, "one"), (7, "w w")])
+    assert neardup.keep_one(docs.limit(0)).count() == 0
