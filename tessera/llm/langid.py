@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded sample in Spark; the log-probability matrix (buckets by
-languages, a size fixed by parameters) is broadcast, and batches are scored in numpy.
+Training counts n-grams of a bounded sample in Spark; the log-probability matrix (languages by
+buckets) is broadcast. A batch of texts becomes one sparse matrix, texts by buckets in compressed rows,
+which is multiplied by it one language at a time, so that no more than one number per n-gram is held.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-_SLICE = 1 << 19  # characters that are looked at in one go
+_SLICE = 1 << 18  # characters that are looked at in one go
+_HELD = 256  # languages that a task counts at once
 _TABLE: list[np.ndarray] = []
 
 
@@ -37,38 +39,67 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def buckets(text: str, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
-    """Hash buckets of all character n-grams of the folded text, in bounded arrays. No letter: nothing."""
+def _parts(texts: list[str | None], longest: int) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Texts in parts of bounded size: strings, the text of each, and the characters at its start that only complete
+    n-grams. Texts are set apart by a character that is no letter at either end."""
+    strings, owner, lead, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text or ""), _SLICE):
+            # a slice starts with what n-grams that end in it need of the one before
+            first, last = max(0, at - longest + 1), min(len(text), at + _SLICE)
+            edge = at < longest - 1  # the text's beginning is in reach
+            strings.append(" " * edge + text[first:last] + " " * (last == len(text)))
+            owner.append(i)
+            lead.append(at - first + edge if at else 0)
+            held += last - first
+            if held >= _SLICE:
+                yield strings, owner, lead
+                strings, owner, lead, held = [], [], [], 0
+    if strings:
+        yield strings, owner, lead
+
+
+def sparse_rows(texts: list[str | None], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts by hash buckets of their character n-grams, as compressed sparse rows in bounded pieces: each row's text, where
+    it starts, and the bucket of each of its n-grams (each counts 1). Rows aren't empty; a text may have several.
+
+    Letters are folded to lower case. N-grams that begin and end with what isn't a letter say nothing and are left
+    out; the edges of words count.
+    """
     fold, longest = _folding(), max(orders)
-    points = _points(text)
-    if not (fold[points] != 32).any():
-        return
-    for at in range(0, len(points), _SLICE):
-        # a slice starts with what n-grams that end in it need of the one before
-        part = fold[points[max(0, at - longest + 1) : at + _SLICE]]
-        if at == 0:
-            part = np.concatenate([[np.uint32(32)], part])
-        if at + _SLICE >= len(points):
-            part = np.concatenate([part, [np.uint32(32)]])
-        wide = part.astype(np.uint64)
-        skip = 0 if at == 0 else longest - 1
+    for strings, owner, lead in _parts(texts, longest):
+        part = fold[_points("".join(strings))]
+        lengths = np.array([len(x) for x in strings])
+        stops = np.cumsum(lengths)
+        row = np.repeat(np.arange(len(strings), dtype=np.int32), lengths)
+        begin = np.repeat((stops - lengths + np.array(lead)).astype(np.int32), lengths)
+        wide, letter, place = part.astype(np.uint64), part != 32, np.arange(len(part), dtype=np.int32)
         for n in orders:
-            count = len(wide) - n + 1
-            first = max(0, skip - n + 1)
-            if count <= first:
+            count = len(part) - n + 1
+            if count <= 0:
                 continue
-            h = np.full(count, n, np.uint64)
+            end = slice(n - 1, n - 1 + count)
+            used = np.flatnonzero((letter[:count] | letter[end]) & (row[:count] == row[end]) & (place[end] >= begin[end]))
+            if not len(used):
+                continue
+            h = np.full(len(used), n, np.uint64)
             for k in range(n):
-                h = (h ^ wide[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ wide[used + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            # runs of what isn't a letter say nothing, but the edges of words do
-            useful = (part[:count] != 32) | (part[n - 1 : n - 1 + count] != 32)
-            yield (h[first:] >> np.uint64(64 - bits)).astype(np.int64)[useful[first:]]
+            mine = row[used]
+            starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            yield np.array(owner)[mine[starts]], starts, (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def buckets(text: str, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+    """Hash buckets of all character n-grams of one text."""
+    for _, _, found in sparse_rows([text], orders, bits):
+        yield found
 
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """``log_p``: float32, buckets by languages; ``prior``: log shares of the training rows."""
+    """``log_p``: languages by buckets; ``prior``: log shares of the training rows."""
 
     languages: list[str]
     log_p: np.ndarray
@@ -77,19 +108,23 @@ class NaiveBayes:
     bits: int
     weight: int  # evidence counts as at most so many n-grams, for scores that aren't all 0 or 1
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for idx in buckets(text, self.orders, self.bits):
-            total += self.log_p[idx].sum(0, dtype=np.float64)
-            n += len(idx)
-        if not n:
-            return UNDETERMINED, 0.0
-        best = int(np.argmax(total + self.prior))
-        tempered = total * (min(n, self.weight) / n) + self.prior
-        odds = np.exp(tempered - tempered.max())
-        return self.languages[best], float(odds[best] / odds.sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text. Ties go to the language whose name sorts first."""
+        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        if self.languages:
+            for owner, starts, found in sparse_rows(texts, self.orders, self.bits):
+                np.add.at(n, owner, np.diff(np.append(starts, len(found))))
+                for i in range(len(self.languages)):
+                    np.add.at(total[:, i], owner, np.add.reduceat(self.log_p[i][found], starts))
+        told = n > 0
+        best, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        if told.any():
+            sums, seen = total[told], n[told][:, None]
+            best[told] = np.argmax(sums + self.prior, axis=1)
+            tempered = sums * (np.minimum(seen, self.weight) / seen) + self.prior
+            odds = np.exp(tempered - tempered.max(1, keepdims=True))
+            scores[told] = odds[np.arange(len(odds)), best[told]] / odds.sum(1)
+        return [self.languages[b] if t else UNDETERMINED for b, t in zip(best, told)], scores
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, weight: int = 100, seed: int = 7) -> NaiveBayes:
@@ -97,7 +132,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
     Rows without text or label are left out. The sample is by a hash of text and label, so that it does
     not depend on partitions; labels are sorted, so ties between languages go to the first. What
-    reaches the driver is one vector of 2**bits counts for each language in the bounded sample.
+    reaches the driver is one vector of 2**bits counts for each language in the bounded sample; a task holds
+    _HELD of them at most.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     total = labelled.where(F.col(f"`{lang_col}`").isNotNull()).count()
@@ -108,14 +144,25 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def given():
+            out = pa.RecordBatch.from_pydict({"lang": [*sums], "docs": [docs[k] for k in sums], "counts": [v.tobytes() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
+            sums.clear()
+            docs.clear()
+            return out
+
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                docs[lang] = docs.get(lang, 0) + 1
+            langs = batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                if len(sums) >= _HELD and lang not in sums:
+                    yield given()
                 acc = sums.setdefault(lang, np.zeros(size, np.int64))
-                for idx in buckets(text.as_py(), orders, bits):
-                    acc += np.bincount(idx, minlength=size)
+                mine = [t.as_py() for t, x in zip(batch.column(0), langs) if x == lang]
+                docs[lang] = docs.get(lang, 0) + len(mine)
+                for _, _, found in sparse_rows(mine, orders, bits):
+                    acc += np.bincount(found, minlength=size)
         if sums:
-            yield pa.RecordBatch.from_pydict({"lang": [*sums], "docs": [docs[k] for k in sums], "counts": [v.tobytes() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
+            yield given()
 
     def add(t: pa.Table) -> pa.Table:
         acc = sum(np.frombuffer(x.as_py(), np.int64) for x in t["counts"])
@@ -124,11 +171,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     kind = "lang string, docs long, counts binary"
     found = sorted(rows.mapInArrow(count, kind).groupBy("lang").applyInArrow(add, kind).collect())
     if not found:
-        return NaiveBayes([], np.zeros((size, 0), np.float32), np.zeros(0), orders, bits, weight)
+        return NaiveBayes([], np.zeros((0, size)), np.zeros(0), orders, bits, weight)
     counts = np.array([np.frombuffer(x["counts"], np.int64) for x in found], np.float64)
     docs = np.array([x["docs"] for x in found], np.float64)
     log_p = np.log(counts + smoothing) - np.log(counts.sum(1, keepdims=True) + smoothing * size)
-    return NaiveBayes([x["lang"] for x in found], np.ascontiguousarray(log_p.T, np.float32), np.log(docs / docs.sum()), orders, bits, weight)
+    return NaiveBayes([x["lang"] for x in found], log_p, np.log(docs / docs.sum()), orders, bits, weight)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,8 +191,8 @@ def predict(docs: DataFrame, model: NaiveBayes, keep: list[str], text_col: str =
     def score(texts):
         import pandas as pd
 
-        found = [shared.value.predict(x) for x in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}, columns=["lang_pred", "score"])
+        names, scores = shared.value.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": names, "score": scores}, columns=["lang_pred", "score"])
 
     with_result = docs.select(*(F.col(f"`{c}`") for c in keep), score(F.col(f"`{text_col}`").cast("string")).alias("__found"))
     return with_result.select(*(F.col(f"`{c}`") for c in keep), F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
@@ -154,7 +201,8 @@ def predict(docs: DataFrame, model: NaiveBayes, keep: list[str], text_col: str =
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of each document, learned from the labelled documents that aren't held out.
 
-    Repeated rows give repeated results; with no labelled row at all every document is ``und``; other
+    Null texts and texts without a letter are ``und`` with score 0; a tie goes to the language that sorts first;
+    repeated rows give repeated results; an empty table gives an empty result; with no labelled row at all every document is ``und``; other
     columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -165,7 +213,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is told with a score of ``least`` or more, all columns unchanged.
 
-    Learned from the labels of ``docs`` itself. Without any label nothing can be told and nothing goes.
+    Learned from the labels of ``docs`` itself. Null texts and texts without a letter can't be told and go;
+    repeated rows stay or go together; without any label nothing can be told and nothing goes; an empty table stays
+    empty; columns may have any names.
     """
     model = fit(docs, text_col, lang_col)
     if not model.languages:
@@ -176,6 +226,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text",
     def kept(texts):
         import pandas as pd
 
-        return pd.Series([lang != UNDETERMINED and p >= least for lang, p in map(shared.value.predict, texts)], dtype=bool)
+        names, scores = shared.value.predict(texts.tolist())
+        return pd.Series([n != UNDETERMINED and p >= least for n, p in zip(names, scores)], dtype=bool)
 
     return docs.where(kept(F.col(f"`{text_col}`").cast("string")))
