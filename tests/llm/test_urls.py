@@ -37,7 +37,7 @@ def test_mined_rules_match_their_definition(spark):
     tokens = pages.join(labels, pages["page_id"] == labels["doc_id"]).selectExpr("page_id", "url", "if(toxic = 1, 'block', 'allow') label").withColumn("tokens", urls.tokens_of(pages["url"]))
     table = [(set(r["tokens"]), r["label"]) for r in tokens.collect()]
     for r in urls.mine(tokens).collect():
-        inside = [label for t, label in table if set(r["tokens"]) <= t]
+        inside = [label for t, label in table if all(t & set(c) for c in r["classes"])]
         assert r["confidence"] == inside.count(r["verdict"]) / len(inside) and r["support"] == inside.count(r["verdict"]) >= 30
 
 
@@ -60,7 +60,7 @@ def test_rules_of_a_frequent_label_are_kept(spark):
     table = [(frozenset(r["tokens"]), r["label"]) for r in tokens.collect()]
     items = sorted({t for s, _ in table for t in s})
     want = {}
-    for n in (1, 2, 3):
+    for n in (1, 2, 3, 4):
         for some in itertools.combinations(items, n):
             inside = [label for s, label in table if s >= set(some)]
             for v in ("allow", "block"):
@@ -68,10 +68,43 @@ def test_rules_of_a_frequent_label_are_kept(spark):
                     want[some, v] = inside.count(v) / len(inside)
     want = {(s, v): c for (s, v), c in want.items() if not any(c2 >= c for (s2, v2), c2 in want.items() if v2 == v and set(s2) < set(s))}
     mined = urls.mine(tokens).collect()
-    assert {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in mined} == want and any(v == "allow" for _, v in want)
+    # a rule stands for all choices of a token from each of its classes
+    spread = {(tuple(sorted(some)), r["verdict"]): r["confidence"] for r in mined for some in itertools.product(*r["classes"])}
+    assert spread == want and any(v == "allow" for _, v in want)
     got = {r["page_id"]: r for r in urls.judge(pages, labels).collect()}
-    rules = [(r["confidence"], len(r["tokens"]), r["support"], r["rule_id"], r["verdict"], set(r["tokens"])) for r in mined]
+    rules = [(r["confidence"], len(r["items"]), r["support"], r["rule_id"], r["verdict"], [set(c) for c in r["classes"]]) for r in mined]
     sets = {r["url"]: frozenset(r["tokens"]) for r in tokens.collect()}
     for i, url in rows:
-        best = max((r for r in rules if r[5] <= sets[url]), key=lambda r: r[:4])
+        best = max((r for r in rules if all(c & sets[url] for c in r[5])), key=lambda r: r[:4])
         assert (got[i]["mined_rule"], got[i]["mined_confidence"], got[i]["verdict"]) == (best[3], best[0], best[4])
+
+
+def test_long_templates_are_one_item(spark):
+    # 40 tokens in a row of which each would double the combinations
+    long = "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.example.org/{long}/{'win' if i % 2 else 'read'}?id={i}") for i in range(200)]
+    rows += [(1000, "http://bad.example.org/other"), (1001, "http://www.example.org/" + "z/" * 20_000 + "win"), (1002, "http://elsewhere.example.org/")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(200))
+    assert got[1000]["verdict"] == got[1001]["verdict"] == "block" and got[1000]["mined_rule"] == got[1001]["mined_rule"]
+    assert got[1002]["mined_rule"] is None and got[1002]["verdict"] == "allow"  # half and half: no majority
+
+
+def test_the_majority_decides_the_rest(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example.org/{i}") for i in range(100)], "page_id long, url string")
+    bad = spark.createDataFrame([(i, 0 if i < 7 else 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urls.judge(pages, bad).collect()} == {"block"}
+    even = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urls.judge(pages, even).collect()} == {"allow"}
+
+
+def test_ties_between_rules(spark):
+    # two tokens that never meet in a label say opposite things with the same confidence and support
+    rows = [(i, f"http://x.example.org/{'left' if i < 50 else 'right'}") for i in range(100)] + [(200, "http://x.example.org/left/right")]
+    labels = spark.createDataFrame([(i, 1, int(i < 50)) for i in range(100)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = [{r["page_id"]: r for r in urls.judge(p, labels).collect()}[200] for p in (pages, pages.repartition(5))]
+    mined = urls.mine(pages.join(labels, pages["page_id"] == labels["doc_id"]).withColumn("tokens", urls.tokens_of(pages["url"])).selectExpr("tokens", "if(toxic = 1, 'block', 'allow') label")).collect()
+    best = max(mined, key=lambda r: (r["confidence"], len(r["items"]), r["support"], r["rule_id"]))
+    assert got[0] == got[1] and (got[0]["mined_rule"], got[0]["verdict"]) == (best["rule_id"], best["verdict"]) and len(mined) == 2
