@@ -22,7 +22,7 @@ EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x4286, 0x42F7, 0x
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 _MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -104,21 +104,27 @@ def mux(payload: bytes) -> bytes:
     return _element(EBML, head) + _element(SEGMENT, b"".join([*parts, _element(CUES, b"".join(cues))]))
 
 
+class Malformed(ValueError):
+    """Bytes that are no Matroska file, with what is wrong and where."""
+
+
 def _vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int, bool]:
     """Value, next offset, and whether all value bits are ones (an unknown size)."""
+    if at >= len(data):
+        raise Malformed(f"a vint is cut off at {at}")
     first = data[at]
     if not first:
-        raise ValueError(f"no vint of up to 8 bytes at {at}")
+        raise Malformed(f"no vint of up to 8 bytes at {at}")
     length = 9 - first.bit_length()
     if at + length > len(data):
-        raise ValueError(f"a vint is cut off at {at}")
+        raise Malformed(f"a vint is cut off at {at}")
     n = int.from_bytes(data[at : at + length], "big")
     value = n if keep_marker else n & (1 << (7 * length)) - 1
     return value, at + length, not keep_marker and value == (1 << (7 * length)) - 1
 
 
 def _unlace(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[int, int]]]:
-    """Track, relative timestamp, keyframe flag and byte ranges of a block's frames."""
+    """Track, relative timestamp, keyframe flag (a SimpleBlock's alone) and byte ranges of a block's frames."""
     track, at, _ = _vint(data, at)
     ticks, flags = struct.unpack_from(">hB", data, at)
     at, kind = at + 3, flags >> 1 & 3
@@ -141,12 +147,12 @@ def _unlace(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[
             sizes.append(sizes[-1] + n - ((1 << (7 * (at - start) - 1)) - 1))
     if kind == 2:
         if (end - at) % count:
-            raise ValueError(f"fixed lacing doesn't divide {end - at} bytes by {count}")
+            raise Malformed(f"fixed lacing doesn't divide {end - at} bytes by {count}")
         sizes = [(end - at) // count] * count
     else:
         sizes.append(end - at - sum(sizes))
     if min(sizes) < 0:
-        raise ValueError("lace sizes exceed their block")
+        raise Malformed("lace sizes exceed their block")
     ranges = []
     for n in sizes:
         ranges.append((at, n))
@@ -154,62 +160,99 @@ def _unlace(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[
     return track, ticks, bool(flags & 0x80), ranges
 
 
-def demux(data: bytes) -> dict:
-    """``packets`` (cluster, track, ticks, offset, size, keyframe), ``cues``, ``tracks`` and ``scale`` of a file."""
-    out: dict = {"packets": [], "cues": [], "tracks": {}, "scale": 1_000_000, "clusters": 0, "blocks": 0, "duration": 0.0}
-    now, segment = [0], [0]
+_DEPTH = 32  # of elements inside one another; a valid file has seven
+
+
+def _walk(data: bytes, at: int, end: int, out: dict, parent: int = 0, scope: dict | None = None, depth: int = 0) -> int:
+    """Read the elements from ``at`` into ``out``; the offset of the first that isn't the parent's."""
+    scope = {} if scope is None else scope
+    if depth > _DEPTH:
+        raise Malformed(f"elements are nested too deeply at {at}")
+    while at < end:
+        start = at
+        element, at, _ = _vint(data, at, keep_marker=True)
+        n, at, unknown = _vint(data, at)
+        if unknown and element not in (SEGMENT, CLUSTER):
+            raise Malformed(f"element {element:x} at {start} has no size")
+        if parent == CLUSTER and element in _TOP:
+            return start
+        stop = end if unknown else at + n
+        if stop > end:
+            raise Malformed(f"element {element:x} at {start} runs past its parent")
+        if element in _MASTERS:
+            inner = scope
+            if element == SEGMENT:
+                out["segment"] = at
+            elif element == CLUSTER:
+                out["clusters"].append(start)
+            elif element in (TRACK_ENTRY, CUE_POINT, BLOCK_GROUP):
+                inner = {}
+            first = len(out["packets"])
+            at = _walk(data, at, stop, out, element, inner, depth + 1)
+            if element == TRACK_ENTRY:
+                out["tracks"][inner.get(TRACK_NUMBER, 0)] = inner
+            elif element == CUE_POINT:
+                out["cues"].append((inner.get(CUE_TIME, 0), inner.get(CUE_TRACK, 0), out["segment"] + inner.get(CUE_CLUSTER_POSITION, 0)))
+            elif element == BLOCK_GROUP:
+                # a Block has no keyframe flag: it is one if it refers to no other
+                out["packets"][first:] = [(*p[:-1], REFERENCE_BLOCK not in inner) for p in out["packets"][first:]]
+            continue
+        if element in (SIMPLE_BLOCK, BLOCK):
+            out["blocks"] += 1
+            track, ticks, key, ranges = _unlace(data, at, stop)
+            each = out["tracks"].get(track, {}).get(DEFAULT_DURATION, 0)
+            out["packets"] += [(len(out["clusters"]) - 1, track, out["now"] + ticks + i * each // out["scale"], o, m, key) for i, (o, m) in enumerate(ranges)]
+        elif element == TIMESTAMP:
+            out["now"] = int.from_bytes(data[at:stop], "big")
+        elif element == TIMESTAMP_SCALE:
+            out["scale"] = int.from_bytes(data[at:stop], "big")
+            if not out["scale"]:
+                raise Malformed(f"the timestamp scale at {start} is zero")
+        elif element in (DURATION, SAMPLING_FREQUENCY):
+            if n not in (4, 8):
+                raise Malformed(f"a float of {n} bytes at {start}")
+            scope[element] = struct.unpack(">d" if n == 8 else ">f", data[at:stop])[0]
+            if element == DURATION:
+                out["duration"] = scope[element]
+        elif element in (CODEC_ID, DOC_TYPE):
+            scope[element] = data[at:stop].decode("ascii", "replace")
+        elif n <= 8:
+            scope[element] = int.from_bytes(data[at:stop], "big")
+        at = stop
+    return at
+
+
+def _parsed() -> dict:
+    return {"packets": [], "cues": [], "tracks": {}, "scale": 1_000_000, "clusters": [], "blocks": 0, "duration": 0.0, "now": 0, "segment": 0}
 
-    def walk(at: int, end: int, parent: int, scope: dict) -> int:
-        while at < end:
-            start = at
-            element, at, _ = _vint(data, at, keep_marker=True)
-            n, at, unknown = _vint(data, at)
-            if unknown and element not in (SEGMENT, CLUSTER):
-                raise ValueError(f"element {element:x} has no size")
-            if parent == CLUSTER and element in _TOP:
-                return start
-            stop = end if unknown else at + n
-            if stop > end:
-                raise ValueError(f"element {element:x} runs past its parent")
-            if element in _MASTERS:
-                inner = scope
-                if element == SEGMENT:
-                    segment[0] = at
-                elif element == CLUSTER:
-                    out["clusters"] += 1
-                elif element in (TRACK_ENTRY, CUE_POINT):
-                    inner = {}
-                at = walk(at, stop, element, inner)
-                if element == TRACK_ENTRY:
-                    out["tracks"][inner.get(TRACK_NUMBER, 0)] = inner
-                elif element == CUE_POINT:
-                    out["cues"].append((inner.get(CUE_TIME, 0), inner.get(CUE_TRACK, 0), segment[0] + inner.get(CUE_CLUSTER_POSITION, 0)))
-                continue
-            if element in (SIMPLE_BLOCK, BLOCK):
-                out["blocks"] += 1
-                track, ticks, key, ranges = _unlace(data, at, stop)
-                each = out["tracks"].get(track, {}).get(DEFAULT_DURATION, 0)
-                out["packets"] += [(out["clusters"] - 1, track, now[0] + ticks + i * each // out["scale"], o, m, key) for i, (o, m) in enumerate(ranges)]
-            elif element == TIMESTAMP:
-                now[0] = int.from_bytes(data[at:stop], "big")
-            elif element == TIMESTAMP_SCALE:
-                out["scale"] = int.from_bytes(data[at:stop], "big")
-            elif element in (DURATION, SAMPLING_FREQUENCY):
-                x = struct.unpack(">d" if n == 8 else ">f", data[at:stop])[0]
-                scope[element] = x
-                if element == DURATION:
-                    out["duration"] = x
-            elif element in (CODEC_ID, DOC_TYPE):
-                scope[element] = data[at:stop].decode("ascii", "replace")
-            elif n <= 8:
-                scope[element] = int.from_bytes(data[at:stop], "big")
-            at = stop
-        return at
-
-    walk(0, len(data), 0, {})
+
+def demux(data: bytes) -> dict:
+    """``packets`` (cluster, track, ticks, offset, size, keyframe), ``cues`` (ticks, track, the cluster's offset), ``clusters``
+    (offsets), ``tracks`` and ``scale`` of a file. What can't be parsed raises ``Malformed``, whatever is wrong with it."""
+    out = _parsed()
+    try:
+        _walk(data, 0, len(data), out)
+    except Malformed:
+        raise
+    except (IndexError, ValueError, struct.error, OverflowError) as e:
+        raise Malformed(f"cut off or inconsistent: {e}") from e
     return out
 
 
+def packets_from(data: bytes, parsed: dict, ticks: int, track: int = 1) -> list[tuple]:
+    """The packets of a track from ``ticks`` on. Its cues say in which cluster to begin; what lies before isn't read."""
+    before = [c for c in parsed["cues"] if c[1] == track and c[0] <= ticks]
+    out = _parsed() | {k: parsed[k] for k in ("tracks", "scale", "segment")}
+    try:
+        at = max(before)[2] if before else parsed["clusters"][0] if parsed["clusters"] else len(data)
+        _walk(data, at, len(data), out, SEGMENT)
+    except Malformed:
+        raise
+    except (IndexError, ValueError, struct.error, OverflowError) as e:
+        raise Malformed(f"cut off or inconsistent: {e}") from e
+    return [p for p in out["packets"] if p[1] == track and p[2] >= ticks]
+
+
 def read_back(data: bytes, track: int = 1) -> tuple[bytes, dict]:
     """The samples of a track, put together from its packets' byte ranges."""
     parsed = demux(data)
@@ -229,11 +272,12 @@ def feature_of(samples: bytes, parsed: dict) -> str:
     total = int((counts * np.arange(256)).sum())
     p = counts[counts > 0] / len(x)
     last = parsed["packets"][-1]
-    return f"frames={len(parsed['packets'])};blocks={parsed['blocks']};clusters={parsed['clusters']};cues={len(parsed['cues'])};last_ms={last[2]};mean={total / len(x):.6f};entropy={float(-(p * np.log2(p)).sum()):.6f};peak={int(x.max())}"
+    return f"frames={len(parsed['packets'])};blocks={parsed['blocks']};clusters={len(parsed['clusters'])};cues={len(parsed['cues'])};last_ms={last[2]};mean={total / len(x):.6f};entropy={float(-(p * np.log2(p)).sum()):.6f};peak={int(x.max())}"
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_PACKETS = "id long, cluster int, track int, timestamp_ms double, offset long, size long, keyframe boolean"
+_PACKETS = "id long, cluster int, track int, timestamp_ms double, offset long, size long, keyframe boolean, error string"
+_CUES = "id long, timestamp_ms double, track int, cluster_offset long, error string"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, each) -> Iterator[pa.RecordBatch]:
@@ -260,20 +304,35 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").mapInArrow(lambda b: _rows(b, schema, each), "id long, n_bytes long, media binary")
 
 
+def _table(media: DataFrame, id_col: str, media_col: str, kind: str, rows_of) -> DataFrame:
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in kind.split(", ")])
+
+    def each(key, data):
+        if data is None:
+            return []
+        try:
+            return [(key, *row, None) for row in rows_of(demux(data))]
+        except Malformed as e:
+            return [(key, *[None] * (len(schema) - 2), str(e))]
+
+    return media.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{media_col}` as binary) media").mapInArrow(lambda b: _rows(b, schema, each), kind)
+
+
 def packet_table(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per packet of each file: cluster, track, timestamp, byte range and keyframe flag.
 
-    A null file gives no row; a malformed one raises, since a silent loss would look like an empty file.
+    A null file and one without packets give no row; a malformed one gives one row with what is wrong in ``error`` and
+    nulls else, so that no file is lost silently and none ends the job. Null ids stay null; repeated rows give
+    repeated results; an empty table gives an empty result; other columns are not read.
     """
-    schema = pa.schema([("id", pa.int64()), ("cluster", pa.int32()), ("track", pa.int32()), ("timestamp_ms", pa.float64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_())])
+    return _table(media, id_col, media_col, _PACKETS, lambda x: [(c, t, ticks * x["scale"] / 1e6, o, n, k) for c, t, ticks, o, n, k in x["packets"]])
 
-    def each(key, data):
-        if data is None:
-            return []
-        parsed = demux(data)
-        return [(key, c, t, ticks * parsed["scale"] / 1e6, o, n, k) for c, t, ticks, o, n, k in parsed["packets"]]
 
-    return media.selectExpr(f"cast(`{id_col}` as long) id", f"`{media_col}` media").mapInArrow(lambda b: _rows(b, schema, each), _PACKETS)
+def cue_table(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """One row per cue of each file: timestamp, track and the offset of the cluster to begin reading at. Nulls, errors
+    and repeated rows as in ``packet_table``."""
+    return _table(media, id_col, media_col, _CUES, lambda x: [(ticks * x["scale"] / 1e6, t, at) for ticks, t, at in x["cues"]])
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

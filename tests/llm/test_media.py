@@ -17,8 +17,8 @@ def test_round_trip(raw):
     data = media.mux(raw or bytes(64))
     back, parsed = media.read_back(data)
     assert back == (raw or bytes(64))
-    assert parsed["clusters"] == len(parsed["cues"])
-    for (ms, track, at), cluster in zip(parsed["cues"], range(parsed["clusters"])):
+    assert len(parsed["clusters"]) == len(parsed["cues"])
+    for (ms, track, at), cluster in zip(parsed["cues"], range(len(parsed["clusters"]))):
         assert data[at : at + 4] == b"\x1f\x43\xb6\x75" and track == 1
         assert min(p[2] for p in parsed["packets"] if p[0] == cluster) == ms
     assert [p[2] for p in parsed["packets"]] == [i * 64 for i in range(len(parsed["packets"]))]
@@ -73,3 +73,51 @@ def test_packet_table(spark):
     assert sizes == {1: 5056, 2: 64}
     stored = {r["id"]: r["media"] for r in files.collect()}
     assert all(stored[1][p["offset"] : p["offset"] + p["size"]].strip(b"\0").strip(b"x") == b"" for p in got if p["id"] == 1)
+
+
+def test_keyframes_of_block_groups():
+    body = bytearray(media.lace([b"one"], 1, 0))
+    for flag in (0x80, 0):
+        body[3] = flag
+        plain = media._element(media.BLOCK_GROUP, media._element(media.BLOCK, bytes(body)))
+        referring = media._element(media.BLOCK_GROUP, media._element(media.BLOCK, bytes(body)) + media._element(media.REFERENCE_BLOCK, b"\xff"))
+        simple = media._element(media.SIMPLE_BLOCK, bytes(body))
+        data = media._element(media.SEGMENT, media._element(media.CLUSTER, media._uint(media.TIMESTAMP, 0) + plain + referring + simple))
+        assert [p[-1] for p in media.demux(data)["packets"]] == [True, False, bool(flag)]
+
+
+def test_any_changed_byte_is_told_or_parsed():
+    data, rng = media.mux(bytes(range(256)) * 40), random.Random(6)
+    for i in [*range(min(400, len(data))), *rng.sample(range(len(data)), 400)]:
+        for value in (0, 1, 255, data[i] ^ 0x10):
+            try:
+                media.demux(data[:i] + bytes([value]) + data[i + 1 :])
+            except media.Malformed:
+                pass
+    for i in range(0, len(data), 97):
+        try:
+            media.demux(data[:i])
+        except media.Malformed:
+            pass
+    with pytest.raises(media.Malformed):
+        media.demux(media._id(media.SEGMENT) * 0 + b"".join([media._id(media.BLOCK_GROUP) + b"\x01" + (10**6).to_bytes(7, "big")] * 5000) + bytes(10**6))
+
+
+def test_cues_are_where_reading_begins():
+    data = media.mux(random.Random(1).randbytes(400_000))
+    parsed = media.demux(data)
+    assert len(parsed["cues"]) > 3
+    for ticks in (0, 1, 8192, 20_000, parsed["packets"][-1][2], 10**9):
+        assert [p[1:] for p in media.packets_from(data, parsed, ticks)] == [p[1:] for p in parsed["packets"] if p[2] >= ticks]
+    blind = bytes(parsed["cues"][2][2])  # nothing before the cue's cluster is looked at
+    assert [p[1:] for p in media.packets_from(blind + data[len(blind) :], parsed, parsed["cues"][2][0])] == [p[1:] for p in parsed["packets"] if p[2] >= parsed["cues"][2][0]]
+
+
+def test_tables_tell_malformed_files(spark):
+    good = media.mux(b"a" * 640)
+    files = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-30])), (3, None), (None, bytearray(b"\x00rubbish")), (1, bytearray(good))], "id long, media binary").selectExpr("*", "1 track", "2 error")
+    got = media.packet_table(files).collect()
+    assert sorted((r["id"] or 0, r["error"] is not None) for r in got) == [(0, True), *[(1, False)] * 4, (2, True)]
+    cues = media.cue_table(files).collect()
+    assert sorted((r["id"] or 0, r["timestamp_ms"], r["error"] is None) for r in cues if r["id"] == 1) == [(1, 0.0, True)] * 2 and sum(r["error"] is not None for r in cues) == 2
+    assert media.packet_table(files.limit(0)).count() == media.cue_table(files.limit(0)).count() == 0
