@@ -26,7 +26,8 @@ END_ID = 1  # closes each document
 WINDOW = 2048
 #: Tokens that a shard's index covers, and tokens that a partition holds.
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 20, 1 << 23
-#: BM25's parameters and the number of a seed's heaviest terms that make up its query.
+#: BM25's parameters and the number of a seed's heaviest terms that make up its query. A query ranks all unused documents
+#: of the shard and those without any of its terms come last, so no document is out of reach.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 
 _ENCODERS: dict[str, tuple] = {}
@@ -94,7 +95,10 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                 pairs = wide[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[1:] * np.uint64(0xC2B2AE3D27D4EB4F) if len(ids) > 1 else wide
                 pairs = (pairs ^ pairs >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
                 raw = ids.astype(narrow).tobytes()
-                rows.append((0, key, len(ids), raw, int(pairs.min() >> np.uint64(1)), zlib.crc32(raw, (key or 0) & 0xFFFFFFFF)))
+                # the minimum falls with length, so it is hashed once more: the order then says nothing of length
+                near = int(pairs.min()) * 0x94D049BB133111EB % (1 << 64)
+                near = (near ^ near >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                rows.append((0, key, len(ids), raw, (near ^ near >> 32) >> 1, zlib.crc32(raw, (key or 0) & 0xFFFFFFFF)))
                 weight += len(raw)
                 if weight > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
