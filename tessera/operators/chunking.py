@@ -13,16 +13,22 @@ from tessera.functions.text import strip, tokens
 
 
 def windows(token_array: Column, size: int, overlap: int) -> Column:
-    """Arrays of ``size`` tokens that start every ``size - overlap``; the last may be pure overlap."""
-    n = F.size(token_array)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(token_array, s + 1, F.lit(size)))
+    """Arrays of ``size`` tokens that start every ``size - overlap``; the last may be pure overlap. The tokens are a lambda's
+    variable, so that they are split once and not for each window."""
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(t, s + 1, F.lit(size)))
+
+    return F.element_at(F.transform(F.array(token_array), cut), 1)
 
 
 def token_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1200, overlap: int = 100, encode=tokens, joiner: str = " ") -> DataFrame:
     """``chunk_id``, ``doc_id``, ``chunk_order_index``, ``tokens``, ``content`` of fixed token windows. ``encode``: text column to array
     of strings."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(windows(encode(F.col(text_col)), size, overlap)).alias("chunk_order_index", "t"))
+    # the outer form, as the plain one adds a filter that evaluates its argument once more
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(windows(encode(F.col(text_col)), size, overlap)).alias("chunk_order_index", "t")).where("t is not null")
     out = rows.select("doc_id", "chunk_order_index", F.size("t").alias("tokens"), strip(F.array_join("t", joiner)).alias("content"))
     return out.select(chunk_id(F.col("content")).alias("chunk_id"), "*")
 

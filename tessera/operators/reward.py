@@ -13,20 +13,83 @@ from tessera.operators.graph import connected_within_two
 from tessera.session import stage_table
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: Sequence[str] = ("id",), text_col: str = "text", least: int = 2) -> DataFrame:
+#: Characters of a dictionary that is sent to the workers as an automaton; a larger one meets the texts in joins.
+DICTIONARY = 1 << 21
+_GRAM = 3
+
+
+def _automaton(names: list[str]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for x in names:
+        found.add_word(x, x)
+    found.make_automaton()
+    return found
+
+
+def _by_dictionary(texts: DataFrame, names: list[str], keys: list[str], text_col: str) -> DataFrame:
+    """One pass of an automaton over each text, where it is read. The names inside a name are found the same way, once in a worker."""
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+    ready: list = []
+
+    @F.pandas_udf("array<struct<name string, pos int>>")
+    def find(column):
+        import pandas as pd
+
+        if not ready:
+            ready.extend((_automaton(shared.value), {}))
+        automaton, within = ready
+
+        def one(text):
+            first: dict[str, int] = {}
+            for end, name in automaton.iter(text or ""):
+                first.setdefault(name, end - len(name) + 2)
+            part: set[str] = set()
+            for name in first:
+                if name not in within:
+                    within[name] = [x for _, x in automaton.iter(name) if x != name]
+                part.update(within[name])
+            return [(x, at) for x, at in first.items() if x not in part]
+
+        return pd.Series([one(t) for t in column], dtype=object)
+
+    rows = texts.select(*keys, F.explode_outer(find(F.col(text_col))).alias("m")).where("m is not null")
+    return rows.select(*keys, "m.name", "m.pos").distinct()
+
+
+def _by_grams(texts: DataFrame, names: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Texts and names meet by runs of _GRAM characters (names shorter than that by what they have), of a name the one
+    that the fewest names have. Only keys and runs are shuffled; the texts come back to the pairs that met."""
+
+    def runs(text: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+    each = names.select("name", F.explode(F.when(F.length("name") < _GRAM, F.array("name")).otherwise(runs(F.col("name"), _GRAM))).alias("g"))
+    shared = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    anchored = stage_table(each.join(shared, "g").groupBy("name").agg(F.min(F.struct("n", "g")).alias("a")).select("name", F.col("a.g").alias("g")), "anchored-names")
+    # a short name is a run of its own length, or the beginning of one
+    lengths = [r[0] for r in anchored.select(F.length("g").alias("n")).distinct().collect()]  # _GRAM values at most
+    grams = texts.select(*keys, F.explode(F.flatten(F.array(*(runs(F.col(text_col), n) for n in sorted(lengths)) if lengths else (F.array().cast("array<string>"),)))).alias("g")).distinct()
+    met = grams.join(anchored, "g").select(*keys, "name").distinct()
+    found = met.join(texts.select(*keys, F.col(text_col).alias("__t")), keys).withColumn("pos", F.instr("__t", F.col("name"))).where("pos > 0").select(*keys, "name", "pos").distinct()
+    other = found.select(*keys, F.col("name").alias("__o"))
+    inside = found.join(other, keys).where((F.col("name") != F.col("__o")) & F.col("__o").contains(F.col("name"))).select(*keys, "name").distinct()
+    return found.join(inside, [*keys, "name"], "left_anti")
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: Sequence[str] = ("id",), text_col: str = "text", least: int = 2, dictionary: int = DICTIONARY) -> DataFrame:
     """``key``, ``name``, ``pos``: names of ``least`` characters and more that occur in a text and aren't part of another
     name that does; ``pos`` is the first place (from 1).
 
-    A contains-join made an equi-join: a name meets the texts that have its first two characters in a row,
-    and is then looked for. Subsumption compares the names found in one text only.
+    Names of up to ``dictionary`` characters in all are sent to the workers and looked for in one pass, without a
+    shuffle of any text; beyond that size texts and names meet in joins.
     """
     keys = list(key)
-    known = names.select("name").where(F.length("name") >= least).distinct().withColumn("g", F.left("name", F.lit(2)))
-    grams = texts.select(*keys, F.col(text_col).alias("__t"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text_col) - 1, F.lit(1))), lambda i: F.substring(F.col(text_col), i, F.lit(2))))).alias("g"))
-    found = grams.join(known, "g").withColumn("pos", F.instr("__t", F.col("name"))).where("pos > 0").select(*keys, "name", "pos").distinct()
-    other = found.select(*keys, F.col("name").alias("__o"))
-    inside = found.join(other, keys).where((F.col("name") != F.col("__o")) & F.col("__o").contains(F.col("name"))).select(*keys, "name").distinct()
-    return found.join(inside, [*keys, "name"], "left_anti")
+    known = stage_table(names.select("name").where(F.length("name") >= least).distinct(), "names")
+    if (known.agg(F.sum(F.length("name"))).first()[0] or 0) <= dictionary:
+        return _by_dictionary(texts, sorted(r[0] for r in known.collect()), keys, text_col)
+    return _by_grams(texts, known, keys, text_col)
 
 
 def pairs_of(found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -96,10 +159,10 @@ def path_reward(texts: DataFrame, names: DataFrame, edges: DataFrame, relations:
     """``key``, ``r_path``: the share of a text's relation triples whose indicator is part of, or holds, a relation name
     (``relations``: relation) and whose ends are connected within two hops."""
     triples = stage_table(relation_triples(texts, names, indicators, key, text_col, marks), "relation-triples")
-    used = triples.select("indicator").distinct()
-    known = relations.select("relation").distinct()
-    # both sides are vocabularies: the indicators of a list and the graph's relation names
-    valid = used.join(known, used["indicator"].contains(known["relation"]) | known["relation"].contains(used["indicator"]), "left_semi").withColumn("__ok", F.lit(1))
+    # each relation name is held against the list of indicators where it is read
+    listed = F.array(*(F.lit(w) for w in indicators))
+    agreed = F.filter(listed, lambda w: w.contains(F.col("relation")) | F.col("relation").contains(w))
+    valid = relations.select(F.explode(agreed).alias("indicator")).distinct().withColumn("__ok", F.lit(1))
     hops = connected_within_two(triples, edges).join(valid, "indicator", "left")
     score = hops.groupBy(key).agg(F.avg((F.col("hops").isNotNull() & F.col("__ok").isNotNull()).cast("double")).alias("r"))
     return texts.select(key).join(score, key, "left").select(key, F.coalesce("r", F.lit(0.0)).alias("r_path"))
@@ -109,10 +172,12 @@ def total_reward(parts: DataFrame, weights: tuple[float, float, float] = (0.5, 0
     return F.col("r_dx") * weights[0] + F.col("r_graph") * weights[1] + F.col("r_path") * weights[2]
 
 
-def rewards(texts: DataFrame, references: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), key: str = "id") -> DataFrame:
-    """``key``, the three parts and ``reward``. ``references``: key, ref (array of diagnoses)."""
+def rewards(texts: DataFrame, references: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), key: str = "id", predictions: Column | None = None, indicators: Sequence[str] = V.RELATION_INDICATORS, claim_marks: str = "。！？\n", path_marks: str = "。！？\n；;") -> DataFrame:
+    """``key``, the three parts and ``reward``. ``references``: key, ref (array of diagnoses); ``predictions``: of a text (None:
+    the diagnoses it names)."""
     from tessera.functions.text import extract_diagnoses
 
-    rows = stage_table(texts.join(references, key, "left").select(key, "text", extract_diagnoses(F.col("text")).alias("pred"), F.coalesce("ref", F.array().cast("array<string>")).alias("ref")), "reward-texts")
-    out = diagnosis_reward(rows, edges, key).join(graph_reward(rows, names, edges, key), key).join(path_reward(rows, names, edges, relations, key=key), key)
+    told = extract_diagnoses(F.col("text")) if predictions is None else predictions
+    rows = stage_table(texts.join(references, key, "left").select(key, "text", told.alias("pred"), F.coalesce("ref", F.array().cast("array<string>")).alias("ref")), "reward-texts")
+    out = diagnosis_reward(rows, edges, key).join(graph_reward(rows, names, edges, key, marks=claim_marks), key).join(path_reward(rows, names, edges, relations, indicators, key, marks=path_marks), key)
     return out.withColumn("reward", total_reward(out, weights))
