@@ -1,13 +1,16 @@
-"""Text functions: column in, column out, all of Spark's own expressions."""
+"""Text functions: column in, column out, all of Spark's own expressions but for character references."""
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import vocabulary as V
 
@@ -37,10 +40,17 @@ def normal_name(x: Column) -> Column:
     return F.lower(strip(x))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """All character references of HTML, named and numbered. There are over two thousand names, some of them without a
+    semicolon, so this is the standard library's work; texts without an ampersand come as nulls."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def clean_str(x: Column) -> Column:
-    """Character references resolved, stripped, control characters deleted."""
-    out = reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), V.ENTITIES, x)
-    return F.regexp_replace(strip(out), r"[\x00-\x1f\x7f-\x9f]", "")
+    """Stripped, character references resolved, control characters deleted."""
+    bare = strip(x)
+    return F.regexp_replace(F.coalesce(_unescaped(F.when(bare.contains("&"), bare)), bare), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 def graph_name(x: Column) -> Column:

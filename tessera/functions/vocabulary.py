@@ -56,5 +56,3 @@ SEPARATORS = ("\n\n", "\r\n\r\n", "\n", "\r\n", "。", "．", ".", "！", "!", "
 FIELD_SEP, TUPLE_DELIMITER, RECORD_DELIMITER, COMPLETION = "<SEP>", "<|>", "##", "<|COMPLETE|>"
 NO_TYPE = "UNKNOWN"
 
-#: Character references that a text cleaner resolves without a parser, in this order.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))

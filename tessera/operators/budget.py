@@ -66,8 +66,9 @@ def top_n(rows: DataFrame, n: int, order: list[Column], group: list[str] | None
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def split_budget(budget: int, nodes: Column, edges: Column) -> tuple[Column, Column]:
+def split_budget(budget: int | Column, nodes: Column, edges: Column) -> tuple[Column, Column]:
     """A budget shared between nodes and edges by their numbers."""
     total = F.nullif(nodes + edges, F.lit(0))
-    first = F.coalesce(F.floor(F.lit(budget) * nodes / total), F.lit(0)).cast("int")
-    return first, F.lit(budget) - first
+    whole = F.lit(budget) if isinstance(budget, int) else budget
+    first = F.coalesce(F.floor(whole * nodes / total), F.lit(0)).cast("int")
+    return first, whole - first

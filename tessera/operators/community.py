@@ -120,7 +120,9 @@ def assemble(clusters: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFr
     cited = clusters.join(chunks, "node").select("level", "cluster", "chunk_id").distinct().groupBy("level", "cluster").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
     out = nodes.join(touching, ["level", "cluster"], "left").join(cited, ["level", "cluster"], "left")
     n = F.when(F.col("chunk_ids").isNull(), 0).otherwise(F.size("chunk_ids"))
-    return out.withColumn("__n", n).withColumn("occurrence", F.col("__n") / F.nullif(F.max("__n").over(Window.partitionBy()), F.lit(0))).drop("__n")
+    out = out.withColumn("__n", n)
+    most = cited.agg(F.max(F.size("chunk_ids")).alias("__most")).select("__most", F.lit(0).alias("__k"))  # one row
+    return out.withColumn("__k", F.lit(0)).join(F.broadcast(most), "__k", "left").drop("__k").withColumn("occurrence", F.col("__n") / F.nullif(F.col("__most"), F.lit(0))).drop("__n", "__most")
 
 
 def sub_communities(clusters: DataFrame, any_deeper: bool = False) -> DataFrame:
@@ -158,29 +160,56 @@ def select_points(points: DataFrame, budget: int) -> DataFrame:
     return prefix_within(rows.withColumn("__t", F.size(tokens(F.col("description")))), F.col("__t"), budget, [F.desc("score"), F.col("description")]).drop("__t")
 
 
-def describe(members: DataFrame, edges: DataFrame, budget: int = 12000) -> DataFrame:
+_NODE = [("node", True), ("type", True), ("description", True), ("degree", False)]
+_EDGE = [("src", True), ("tgt", True), ("description", True), ("rank", False)]
+
+
+def _cells(cells: list[tuple[str, bool]]) -> Column:
+    """The tokens of a line."""
+    return F.size(tokens(F.concat_ws(" ", *(F.col(c).cast("string") for c, _ in cells))))
+
+
+def describe(members: DataFrame, edges: DataFrame, budget: int = 12000, children: DataFrame | None = None) -> DataFrame:
     """``cluster``, ``context``: nodes by degree and edges by rank as quoted lines, each within its share of the budget.
 
-    ``members``: cluster, node, type, description, degree; ``edges``: cluster, src, tgt, description, rank.
+    ``members``: cluster, node, type, description, degree; ``edges``: cluster, src, tgt, description, rank. With
+    ``children`` (parent, child, report, rating, occurrence, child_nodes, child_edges) a community whose nodes and edges
+    don't all fit has the reports of its parts first, by occurrence within the budget; what those tell of comes last
+    among the nodes and edges, which share what is left.
     """
-    n = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_nodes"))
-    m = edges.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_edges"))
-    sizes = n.join(m, "cluster", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
-    for_nodes, for_edges = split_budget(budget, F.col("n_nodes"), F.col("n_edges"))
+    n = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(_cells(_NODE) + 1).alias("t_nodes"))
+    m = edges.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(_cells(_EDGE) + 1).alias("t_edges"))
+    sizes = n.join(m, "cluster", "left").withColumns({"n_edges": F.coalesce("n_edges", F.lit(0)), "t_edges": F.coalesce("t_edges", F.lit(0))})
+    if children is None:
+        sizes = sizes.withColumns({"reports": F.lit(None).cast("string"), "left": F.lit(budget)})
+        members, edges = members.withColumn("told", F.lit(False)), edges.withColumn("told", F.lit(False))
+    else:
+        wide = sizes.where(F.col("t_nodes") + F.col("t_edges") > budget).select(F.col("cluster").alias("parent"))
+        packed = stage_table(pack_children(children.join(wide, "parent"), budget), "packed-children")
+        order = Window.partitionBy("parent").orderBy(F.desc("occurrence"), "child")
+        rows = packed.withColumn("id", F.row_number().over(order) - 1).withColumn("rating", F.coalesce("rating", F.lit(-1.0)))
+        section = csv_section(["id", "report", "rating", "importance"], F.array_sort(F.collect_list(F.struct("id", "report", "rating", "occurrence"))), [("id", False), ("report", True), ("rating", False), ("occurrence", False)])
+        told = rows.groupBy(F.col("parent").alias("cluster")).agg(section.alias("reports"), F.sum(F.size(tokens(F.col("report"))) + 1).alias("used"))
+        sizes = sizes.join(told, "cluster", "left").withColumn("left", F.greatest(F.lit(budget) - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int"))
+        nodes = packed.select(F.col("parent").alias("cluster"), F.explode("child_nodes").alias("node")).distinct().withColumn("told", F.lit(True))
+        ends = packed.select(F.col("parent").alias("cluster"), F.explode("child_edges").alias("e")).select("cluster", F.col("e.a").alias("src"), F.col("e.b").alias("tgt")).distinct().withColumn("told", F.lit(True))
+        members = members.join(nodes, ["cluster", "node"], "left").withColumn("told", F.coalesce("told", F.lit(False)))
+        edges = edges.join(ends, ["cluster", "src", "tgt"], "left").withColumn("told", F.coalesce("told", F.lit(False)))
+    for_nodes, for_edges = split_budget(F.col("left"), F.col("n_nodes"), F.col("n_edges"))
     sizes = sizes.withColumn("bn", for_nodes).withColumn("be", for_edges)
 
     def section(rows: DataFrame, limit: str, order: list[Column], cells: list[tuple[str, bool]], name: str) -> DataFrame:
-        rows = rows.join(sizes.select("cluster", limit), "cluster")
-        cost = F.size(tokens(F.concat_ws(" ", *(F.col(c).cast("string") for c, _ in cells))))
-        rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)) - 1).withColumn("__c", cost)
+        rows = rows.join(sizes.select("cluster", limit), "cluster").withColumn("__c", _cells(cells))
+        rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("cluster").orderBy("told", *order)) - 1)
         rows = prefix_within(rows, F.col("__c"), F.col(limit), [F.col("id")], ["cluster"])
         got = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("id", *(c for c, _ in cells)))).alias("r"))
         return got.select("cluster", csv_section(["id", *(c for c, _ in cells)], F.col("r"), [("id", False), *cells]).alias(name))
 
-    a = section(members, "bn", [F.desc("degree"), F.col("node")], [("node", True), ("type", True), ("description", True), ("degree", False)], "entities")
-    b = section(edges, "be", [F.desc("rank"), F.col("src"), F.col("tgt")], [("src", True), ("tgt", True), ("description", True), ("rank", False)], "relationships")
-    both = a.join(b, "cluster", "left")
-    return both.select("cluster", F.concat(F.lit("-----Entities-----\n"), "entities", F.lit("\n-----Relationships-----\n"), F.coalesce("relationships", F.lit(""))).alias("context"))
+    a = section(members, "bn", [F.desc("degree"), F.col("node")], _NODE, "entities")
+    b = section(edges, "be", [F.desc("rank"), F.col("src"), F.col("tgt")], _EDGE, "relationships")
+    both = sizes.select("cluster", "reports").join(a, "cluster", "left").join(b, "cluster", "left").where("reports is not null or entities is not null")
+    head = F.coalesce(F.concat(F.lit("-----Reports-----\n"), "reports", F.lit("\n")), F.lit(""))
+    return both.select("cluster", F.concat(head, F.lit("-----Entities-----\n"), F.coalesce("entities", F.lit("")), F.lit("\n-----Relationships-----\n"), F.coalesce("relationships", F.lit(""))).alias("context"))
 
 
 def pack_children(children: DataFrame, budget: int) -> DataFrame:

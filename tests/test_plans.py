@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import sampling
+from tessera.operators import community
+from tessera.plans import cleaning, sampling
 from tessera.plans.fusion import Fusion, answered
 from tessera.plans.graphrag import GraphRAG, QueryParam
 from tessera.sources.stores import TableStore
@@ -95,3 +97,89 @@ def test_failed_rows_are_retried(spark, tmp_path):
     incremental.process_new(rows, store, lambda r: r.withColumn("score", F.when(F.col("id") == "a", 1.0)))
     got = incremental.process_new(rows, store, lambda r: r.withColumn("score", F.lit(2.0)), retry=F.col("score").isNull())
     assert dict(got.collect()) == {"a": 1.0, "b": 2.0}
+
+
+def test_a_failed_insert_can_be_tried_again(spark, tmp_path):
+    failing = {"chunks": 1, "docs": 1}
+
+    class Flaky(TableStore):
+        def append(self, rows):
+            name = self.path.rpartition("/")[2]
+            if failing.get(name):
+                failing[name] -= 1
+                raise OSError(f"no {name} today")
+            super().append(rows)
+
+    rag = GraphRAG(spark, str(tmp_path / "rag"), extract, embed, report, answer, store=Flaky)
+    texts = spark.createDataFrame([("alpha beta cat",), ("beta cat dog",)], "text string")
+    for name in ("chunks", "docs"):
+        with pytest.raises(OSError, match=name):
+            rag.insert(texts)
+    assert rag.insert(texts) and not rag.insert(texts)
+    assert {(r["src"], r["tgt"]): r["weight"] for r in rag.graph()[1].collect()} == {("ALPHA", "BETA"): 2.0, ("BETA", "CAT"): 4.0, ("CAT", "DOG"): 2.0}
+    assert rag.docs.all().count() == rag.chunks.all().count() == 2 and rag.vectors.all().groupBy("id").count().where("count > 1").count() == 0
+
+
+def test_only_new_texts_are_embedded(spark, tmp_path):
+    asked = []
+
+    class Counting(TableStore):
+        def put(self, rows, group):
+            if self.path.endswith("vectors"):
+                asked.append(sorted(r["name"] for r in rows.where("kind = 'entity'").collect()))
+            super().put(rows, group)
+
+    rag = GraphRAG(spark, str(tmp_path / "rag"), extract, embed, store=Counting)
+    rag.insert(spark.createDataFrame([("alpha beta cat",)], "text string"))
+    rag.insert(spark.createDataFrame([("cat dog eel",)], "text string"))
+    assert asked == [["ALPHA", "BETA", "CAT"], ["DOG", "EEL"]]
+
+
+def test_gleaning_asks_until_told_to_stop(spark, tmp_path):
+    def pair(a, b):
+        return F.lit(f'("entity"<|>{a}<|>word<|>d)##("entity"<|>{b}<|>word<|>d)##("relationship"<|>{a}<|>{b}<|>r<|>1)##')
+
+    def more(content, reply):
+        return F.when(content.startswith("go"), F.lit(' "Yes" ')).otherwise(F.lit("no"))
+
+    def glean(content, reply):
+        return F.when(reply.contains("third"), pair("fourth", "fifth")).otherwise(pair("second", "third"))
+
+    rag = GraphRAG(spark, str(tmp_path / "rag"), lambda c: pair("first", "second"), glean=glean, more=more, gleanings=2)
+    rag.insert(spark.createDataFrame([("go on",), ("stop here",)], "text string"))
+    by = {}
+    for r in rag.mentions.all().join(rag.chunks.all(), F.col("source_id") == F.col("chunk_id")).collect():
+        by.setdefault(r["content"], set()).add(r["entity_name"])
+    assert by == {"go on": {"FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH"}, "stop here": {"FIRST", "SECOND", "THIRD"}}
+
+
+def test_reports_begin_with_the_deepest_level(spark, tmp_path):
+    def extract_all(content):
+        words = F.split(content, " ")
+        one = F.transform(words, lambda w: F.concat(F.lit('("entity"<|>'), w, F.lit("<|>word<|>some words that tell of it at length)##")))
+        two = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(F.lit('("relationship"<|>'), w, F.lit("<|>"), F.element_at(words, i + 2), F.lit("<|>next<|>1)##")))
+        return F.array_join(F.concat(one, two), "")
+
+    def told(context):
+        return F.concat(F.lit('{"title": "'), F.when(context.startswith("-----Reports-----"), "by parts").otherwise("plain"), F.lit('", "summary": "S", "rating": 5, "findings": []}'))
+
+    rag = GraphRAG(spark, str(tmp_path / "rag"), extract_all, report=told, report_tokens=120)
+    rag.insert(spark.createDataFrame([(" ".join(f"w{i}" for i in range(300)),)], "text string"))
+    reports = rag.reports.all().collect()
+    assert {r["level"] for r in reports} >= {0, 1}
+    inside = {(r["parent"], r["child"]) for r in community.sub_communities(rag.clusters.all()).collect()}
+    parents = {p for p, _ in inside}
+    assert parents
+    for r in reports:
+        wide = r["cluster"] in parents and len(r["nodes"]) > 10
+        assert r["report"].startswith("# by parts") == wide, (r["cluster"], r["report"][:20], len(r["nodes"]))
+
+
+def test_documents_are_cleaned_and_verified(spark):
+    long = "x" * 60
+    docs = spark.createDataFrame([(1, f"keep this. NOISE\n{long}\nbad part"), (2, None), (3, "fine")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in cleaning.clean_documents(docs, lambda c: F.when(~c.contains("bad"), F.concat(F.replace(c, F.lit(" NOISE"), F.lit("")), F.lit("\n\n" + long))), lambda a, b: F.concat(F.lit("so: {\"kept\": "), F.length(b).cast("string"), F.lit("} ok")), size=70, overlap=5).collect()}
+    assert got[3]["text"] == f"fine\n\n{long}" and got[3]["failed"] == [] and got[3]["verification"] == '{"kept": %d}' % len(got[3]["text"])
+    assert got[1]["text"].count(long) == 1 or "bad" in got[1]["text"]
+    assert len(got[1]["failed"]) >= 1 and "bad part" in got[1]["text"]
+    assert (got[2]["text"], got[2]["chunks"], got[2]["failed"]) == ("", 0, [])

@@ -117,3 +117,22 @@ def test_quality_report_identities(spark):
     from tessera.operators.evaluate import score_validation
 
     assert tuple(score_validation(s).first()) == (200, pytest.approx(3.26), 47.5, 64.5)
+
+
+def test_a_store_survives_a_crash_while_it_publishes(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "kv"), "k string, v string", "k")
+    row = lambda *x: spark.createDataFrame(list(x), "k string, v string")
+    store.upsert(row(("a", "1")))
+    publish = TableStore._publish
+    monkeypatch.setattr(TableStore, "_publish", lambda self, segments: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        store.upsert(row(("b", "2")))
+    monkeypatch.setattr(TableStore, "_publish", publish)
+    assert [tuple(r) for r in store.all().collect()] == [("a", "1")]
+    store.append(row(("c", "3")))
+    store.put(row(("c", "4"), ("d", "5")), "k")
+    assert sorted(map(tuple, store.all().collect())) == [("a", "1"), ("c", "4"), ("d", "5")]
+    for i in range(20):
+        store.append(row((f"x{i}", "")))
+    assert store.all().count() == 23 and len(store._current()) <= 17
+    assert len(store._names("manifests")) == 2 and len(store._names("segments")) <= 34
