@@ -265,17 +265,19 @@ def graph_upsert(spark, sf):
     return graph.upsert(c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg")), fresh, ["k"])
 
 
-@query("SELECT i AS pos, 'c:' || (i * 7) AS node, c_name FROM range(0, 400) t(i) LEFT JOIN customer ON c_custkey = i * 7")
+@query("SELECT i AS pos, 'c:' || i AS node, c_name FROM (SELECT o_custkey AS i FROM orders UNION SELECT c_custkey + 5 FROM customer) LEFT JOIN customer ON c_custkey = i")
 def graph_hydrate(spark, sf):
     """JN8, GR2: missing ids stay with nulls."""
-    ids = spark.range(400).select(F.col("id").alias("pos"), F.concat(F.lit("c:"), (F.col("id") * 7).cast("string")).alias("node"))
+    keys = table(spark, sf, "orders").select(F.col("o_custkey").alias("pos")).union(table(spark, sf, "customer").select(F.col("c_custkey") + 5)).distinct()
+    ids = keys.select("pos", F.concat(F.lit("c:"), F.col("pos").cast("string")).alias("node"))
     return alignment.hydrate(ids, table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"), "c_name"), "node").select("pos", "node", "c_name")
 
 
-@query(_with(bridge.EDGES) + ", s AS (SELECT src AS node, tgt AS nbr FROM edges UNION SELECT tgt, src FROM edges), ids AS (SELECT 's:' || (i * 3) AS node FROM range(0, 60) t(i)) SELECT ids.node, coalesce(string_agg(nbr, '|' ORDER BY nbr), '') AS nbrs FROM ids LEFT JOIN s ON s.node = ids.node GROUP BY ids.node")
+@query(_with(bridge.EDGES) + ", s AS (SELECT src AS node, tgt AS nbr FROM edges UNION SELECT tgt, src FROM edges), ids AS (SELECT 's:' || s_suppkey AS node FROM supplier UNION SELECT 's:' || (s_suppkey + 3) FROM supplier) SELECT ids.node, coalesce(string_agg(nbr, '|' ORDER BY nbr), '') AS nbrs FROM ids LEFT JOIN s ON s.node = ids.node GROUP BY ids.node")
 def graph_node_edges(spark, sf):
     """GR3, GR14: empty for the missing."""
-    ids = spark.range(60).select(F.concat(F.lit("s:"), (F.col("id") * 3).cast("string")).alias("node"))
+    s = table(spark, sf, "supplier")
+    ids = s.select("s_suppkey").union(s.select(F.col("s_suppkey") + 3)).distinct().select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("node"))
     return graph.node_edges(ids, bridge.edges(spark, sf)).select("node", F.array_join("nbrs", "|").alias("nbrs"))
 
 
@@ -357,11 +359,11 @@ def longtail_communities(spark, sf):
 
 
 @query("""WITH """ + bridge.EDGES + """, sym AS (SELECT src AS node, tgt AS nbr FROM edges UNION SELECT tgt, src FROM edges),
-pairs AS (SELECT 'p:' || l_partkey AS a, 'p:' || ((l_partkey * 7 + 1) % 2000) AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0 UNION SELECT 'p:' || l_partkey, 's:' || (l_suppkey + 1) FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 20 = 0)
+pairs AS (SELECT 'p:' || l_partkey AS a, 'p:' || ((l_partkey * 7 + 1) % 2000) AS b FROM lineitem WHERE l_linenumber = 1 UNION SELECT 'p:' || l_partkey, 's:' || (l_suppkey + 1) FROM lineitem WHERE l_linenumber = 2)
 SELECT a, b, CAST(CASE WHEN EXISTS (SELECT 1 FROM sym WHERE node = a AND nbr = b) THEN 1 WHEN EXISTS (SELECT 1 FROM sym x JOIN sym y ON x.nbr = y.nbr WHERE x.node = a AND y.node = b) THEN 2 END AS BIGINT) AS hops FROM pairs""")
 def two_hop_pairs(spark, sf):
     """JN11."""
-    l = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
+    l = table(spark, sf, "lineitem")
     k = lambda p, c: F.concat(F.lit(f"{p}:"), c.cast("string"))
     pairs = l.where("l_linenumber = 1").select(k("p", F.col("l_partkey")).alias("a"), k("p", (F.col("l_partkey") * 7 + 1) % 2000).alias("b")).union(l.where("l_linenumber = 2").select(k("p", F.col("l_partkey")), k("s", F.col("l_suppkey") + 1))).distinct()
     return graph.connected_within_two(pairs, bridge.edges(spark, sf)).withColumn("hops", F.col("hops").cast("long"))
@@ -397,10 +399,11 @@ def edge_merge(spark, sf):
     return edges.select("src", "tgt", "weight", F.col("ord").cast("long").alias("ord"), "description", F.array_join("source_ids", "|").alias("source_ids"))
 
 
-@query(_with(bridge.MENTIONS, bridge.RELATIONS) + "SELECT entity_name, 'UNKNOWN' AS entity_type FROM (SELECT src AS entity_name FROM relations UNION SELECT tgt FROM relations) WHERE entity_name NOT IN (SELECT entity_name FROM mentions WHERE ord % 997 = 0)")
+@query(_with(bridge.MENTIONS, bridge.RELATIONS) + "SELECT entity_name, 'UNKNOWN' AS entity_type FROM (SELECT src AS entity_name FROM relations UNION SELECT replace(tgt, 'USER', 'GUEST') FROM relations) WHERE entity_name NOT IN (SELECT entity_name FROM mentions)")
 def edge_merge_missing_nodes(spark, sf):
     """AG5: endpoints that weren't mentioned."""
-    _, nodes = dedup.merge_edges(bridge.vote_relations(spark, sf), dedup.merge_nodes(bridge.vote_mentions(spark, sf).where("ord % 997 = 0")))
+    relations = bridge.vote_relations(spark, sf).withColumn("tgt", F.replace("tgt", F.lit("USER"), F.lit("GUEST")))
+    _, nodes = dedup.merge_edges(relations, dedup.merge_nodes(bridge.vote_mentions(spark, sf)))
     return nodes.where("entity_type = 'UNKNOWN'").select("entity_name", "entity_type")
 
 
@@ -484,10 +487,16 @@ def retention_by_language(spark, sf):
     return evaluate.retention(table(spark, sf, "documents").select("lang", F.col("text").alias("before"), F.regexp_replace("text", "[^a-z]", "").alias("after")), "lang")
 
 
-@query(r"""SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(replace(replace(replace(replace(left(html, 3000), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')), '[\x00-\x1f\x7f-\x9f]', '', 'g') AS text FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')), '[\x00-\x1f\x7f-\x9f]', '', 'g') AS text FROM pages""")
 def clean_strings(spark, sf):
-    """SCL2, SCL24."""
-    return table(spark, sf, "pages").select("page_id", text.clean_str(text.prefix(F.col("html"), 3000)).alias("text"))
+    """SCL2."""
+    return table(spark, sf, "pages").select("page_id", text.clean_str(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, left(text, 800) AS text FROM documents")
+def text_prefixes(spark, sf):
+    """SCL24: the prefix is the feature."""
+    return table(spark, sf, "documents").select("doc_id", text.prefix(F.col("text"), 800).alias("text"))
 
 
 # ---------------------------------------------------------------- vectors and retrieval
@@ -542,12 +551,12 @@ def token_budget_by_group(spark, sf):
     return budget.prefix_within(top, F.col("n"), 3000, [F.col("doc_id")], ["lang"])
 
 
-@query(_with(_HITS) + r""", b AS (SELECT h.id, score, item_id, text, sum(""" + _TOK.format("text") + r""" + 1) OVER (ORDER BY score DESC, h.id) AS used FROM hits h JOIN benchmark ON item_id = h.id % 40)
+@query(_with(_HITS) + r""", b AS (SELECT h.id, score, item_id, text, sum(""" + _TOK.format("text") + r""" + 1) OVER (ORDER BY score DESC, h.id) AS used FROM hits h JOIN benchmark ON item_id = h.id % 200)
 SELECT coalesce(string_agg(text, '--New Chunk--' || chr(10) ORDER BY score DESC, id), '') AS context FROM b WHERE used <= 700""")
 def naive_context(spark, sf):
     """Q4."""
-    hits = _hits(spark, sf).withColumn("item", F.col("id") % 40)
-    chunks = table(spark, sf, "benchmark").where("item_id < 40").select(F.col("item_id").alias("item"), F.col("text").alias("content"))
+    hits = _hits(spark, sf).withColumn("item", F.col("id") % 200)
+    chunks = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("content"))
     rows = hits.join(chunks, "item").select(F.col("id").alias("chunk_id"), "content")
     return retrieval.naive_context(hits.select("id", "score"), rows, 700)
 
@@ -645,10 +654,10 @@ def global_selection(spark, sf):
     return community.select_global(table_, 12, 1.0).select("cluster", F.round("occurrence", 6).alias("occurrence"), "rating")
 
 
-@query(r"WITH p AS (SELECT doc_id, text AS description, CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 END AS s FROM documents WHERE doc_id % 9 > 0), q AS (SELECT doc_id, description, coalesce(s, 1) AS score FROM p WHERE coalesce(s, 1) > 0), r AS (SELECT *, sum(" + _TOK.format("description") + r" + 1) OVER (ORDER BY score DESC, description, doc_id) AS used FROM (SELECT min(doc_id) AS doc_id, description, score FROM q GROUP BY ALL)) SELECT doc_id, score FROM r WHERE used <= 16384")
+@query(r"WITH p AS (SELECT doc_id, text AS description, CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 END AS s FROM documents), q AS (SELECT doc_id, description, coalesce(s, 1) AS score FROM p WHERE coalesce(s, 1) > 0), r AS (SELECT *, sum(" + _TOK.format("description") + r" + 1) OVER (ORDER BY score DESC, description, doc_id) AS used FROM (SELECT min(doc_id) AS doc_id, description, score FROM q GROUP BY ALL)) SELECT doc_id, score FROM r WHERE used <= 16384")
 def point_selection(spark, sf):
     """OR7."""
-    d = table(spark, sf, "documents").where("doc_id % 9 > 0").select("doc_id", F.col("text").alias("description"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).alias("score"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("description"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).alias("score"))
     d = d.withColumn("score", F.coalesce("score", F.lit(1))).groupBy("description", "score").agg(F.min("doc_id").alias("doc_id"))
     return community.select_points(d, 16384).select("doc_id", "score")
 
@@ -686,9 +695,12 @@ def hierarchical_communities(spark, sf):
     return community.hierarchical_communities(bridge.similarity_edges(spark, sf))
 
 
-@query()
+@query(r"WITH RECURSIVE t AS (SELECT lang, doc_id, " + _TOK.format("coalesce(text, '')") + r""" + 1 AS cost, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+packed AS (SELECT lang, doc_id, k, 0 AS grp, cost AS used FROM t WHERE k = 1
+  UNION ALL SELECT t.lang, t.doc_id, t.k, CASE WHEN used + cost <= 4000 THEN grp ELSE grp + 1 END, CASE WHEN used + cost <= 4000 THEN used + cost ELSE cost END FROM packed JOIN t ON t.lang IS NOT DISTINCT FROM packed.lang AND t.k = packed.k + 1)
+SELECT lang, CAST(doc_id AS VARCHAR) AS id, CAST(grp AS INTEGER) AS "group" FROM packed""")
 def budget_groups(spark, sf):
-    """OR2: consecutive groups of all documents within a budget, by language; tested by brute force."""
+    """OR2: consecutive groups of all documents within a budget, by language."""
     d = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.coalesce(F.size(text.tokens(F.coalesce("text", F.lit("")))), F.lit(0)).alias("tokens"))
     return budget.pack_stream(d, 4000)
 
@@ -766,11 +778,12 @@ def _sets(spark, sf):
     return c.select(F.col("conv_id").alias("id"), long(F.col("p")).alias("pred"), long(F.col("r")).alias("ref"))
 
 
-_DX = _SETS + "," + bridge.VOCABULARY_EDGES + """,
+_RDX = """
 near AS (SELECT id, pp, max(CASE WHEN EXISTS (SELECT 1 FROM vsym WHERE node = pp AND nbr = rr) THEN 0.7 WHEN EXISTS (SELECT 1 FROM vsym x JOIN vsym y ON x.nbr = y.nbr WHERE x.node = pp AND y.node = rr) THEN 0.4 END) AS v FROM (SELECT id, pp, unnest(r) AS rr, p FROM (SELECT id, unnest(p) AS pp, p, r FROM dx) WHERE NOT list_contains(r, pp)) WHERE NOT list_contains(p, rr) GROUP BY id, pp),
 credit AS (SELECT id, 0.3 * coalesce(sum(v), 0) AS c FROM near GROUP BY id),
 base AS (SELECT dx.id, p, r, len(list_intersect(p, r)) AS h, least(0.2, 0.2 * len(list_filter(p, lambda x: NOT list_contains(r, x) AND len(list_filter(r, lambda y: contains(x, y) OR contains(y, x))) > 0))) AS bonus, coalesce(c, 0) AS c FROM dx LEFT JOIN credit ON credit.id = dx.id),
 rdx AS (SELECT id, CASE WHEN len(p) = 0 THEN 0.0 WHEN len(r) = 0 THEN 0.5 ELSE least(1.0, (CASE WHEN h > 0 THEN 2.0 * (h / len(p)) * (h / len(r)) / (h / len(p) + h / len(r)) ELSE 0 END) + least(c, 0.3) + bonus) END AS r_dx FROM base)"""
+_DX = _SETS + "," + bridge.VOCABULARY_EDGES + "," + _RDX
 
 
 @query(_with(_DX) + "SELECT id, round(CAST(r_dx AS DOUBLE), 6) AS r_dx FROM rdx")
@@ -779,6 +792,28 @@ def reward_dx(spark, sf):
     return reward.diagnosis_reward(_sets(spark, sf), bridge.vocabulary_edges(spark, sf)).withColumn("r_dx", F.round("r_dx", 6))
 
 
+_LONG = "list_distinct(list_filter(string_split(lower({}), ' '), lambda x: length(x) > 9))"
+_TURN_SETS = f"""asked AS (SELECT conv_id, max(text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+dx AS (SELECT id, {_LONG.format('turns.text')} AS p, coalesce({_LONG.format('asked.t')}, []) AS r FROM turns LEFT JOIN asked ON asked.conv_id = id // 1000)"""
+
+
+@query(_with(_R_GRAPH) + f""", tripled AS ({_TRIPLED.rpartition("tripled AS (")[2]},
+paths AS (SELECT id, avg(CASE WHEN indicator IN ('the', 'de') AND EXISTS (SELECT 1 FROM two WHERE two.a = t.a AND two.b = t.b) THEN 1.0 ELSE 0.0 END) AS r FROM tripled t WHERE indicator IS NOT NULL GROUP BY id),
+{_TURN_SETS},{_RDX},
+three AS (SELECT t.id, CAST(r_dx AS DOUBLE) AS r_dx, CAST(coalesce(s.score, l.ratio + 0.25 * (1 - l.ratio), 0) AS DOUBLE) AS r_graph, CAST(coalesce(paths.r, 0) AS DOUBLE) AS r_path FROM turns t JOIN rdx ON rdx.id = t.id LEFT JOIN scored s ON s.id = t.id LEFT JOIN loose l ON l.id = t.id LEFT JOIN paths ON paths.id = t.id)
+SELECT id, round(r_dx, 6) AS r_dx, round(r_graph, 6) AS r_graph, round(r_path, 6) AS r_path, round(0.5 * r_dx + 0.3 * r_graph + 0.2 * r_path, 6) AS reward FROM three""")
+def reward_total(spark, sf):
+    """Q8: the weighted sum of the three rewards of each answer."""
+    c = table(spark, sf, "conversations")
+    long = lambda x: F.coalesce(F.array_distinct(F.filter(F.split(F.lower(x), " "), lambda w: F.length(w) > 9)), F.array().cast("array<string>"))
+    asked = c.where("role = 'user'").groupBy("conv_id").agg(F.max("text").alias("t")).select(F.col("conv_id").alias("__c"), long(F.col("t")).alias("ref"))
+    turns = bridge.turns(spark, sf)
+    references = turns.select("id", F.floor(F.col("id") / 1000).alias("__c")).join(asked, "__c").select("id", "ref")
+    known = spark.createDataFrame([("the",), ("de",)], "relation string")
+    out = reward.rewards(turns, references, bridge.vocabulary(spark, sf), bridge.vocabulary_edges(spark, sf), known, predictions=long(F.col("text")), indicators=_INDICATORS, claim_marks=".!?\n", path_marks=".!?\n")
+    return out.select("id", *(F.round(x, 6).alias(x) for x in ("r_dx", "r_graph", "r_path", "reward")))
+
+
 @query("""SELECT user_id, event_id, round((value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 0) + 1e-4), 5) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)""")
 def group_advantage(spark, sf):
     """AG22."""
@@ -851,10 +886,10 @@ def choice_accuracy(spark, sf):
     return evaluate.choice_accuracy(c, ["question_type"])
 
 
-@query(r"""SELECT doc_id, CASE WHEN l = '' THEN NULL WHEN s AND regexp_full_match(a, '[A-Fa-f]+') THEN upper(left(a, 1)) WHEN s THEN left(l, 1) ELSE l END AS letters FROM (SELECT doc_id, a, s, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(a), '[A-F]'))), '') AS l FROM (SELECT doc_id, trim(left(regexp_replace(text, '[\s]+', ' ', 'g'), 5)) AS a, doc_id % 2 = 0 AS s FROM documents))""")
+@query(r"""SELECT doc_id, CASE WHEN l = '' THEN NULL WHEN s AND regexp_full_match(a, '[A-Fa-f]+') THEN upper(left(a, 1)) WHEN s THEN left(l, 1) ELSE l END AS letters FROM (SELECT doc_id, a, s, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(a), '[A-F]'))), '') AS l FROM (SELECT doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS a, doc_id % 2 = 0 AS s FROM documents))""")
 def option_letters(spark, sf):
     """SCL20."""
-    a = F.trim(F.left(F.regexp_replace("text", r"[\s]+", " "), F.lit(5)))
+    a = F.trim(F.regexp_replace("text", r"[\s]+", " "))
     return table(spark, sf, "documents").select("doc_id", text.option_letters(a, F.col("doc_id") % 2 == 0).alias("letters"))
 
 
@@ -949,11 +984,11 @@ def prompts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.chat_prompt(F.lit("You are careful."), told, F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).alias("prompt"), text.format_options(options).alias("options"))
 
 
-@query(r"""SELECT item_id, '# item ' || item_id || chr(10) || chr(10) || left(text, 20) || chr(10) || chr(10) || '## first' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || '## second' || chr(10) || chr(10) AS report FROM benchmark""")
+@query(r"""SELECT item_id, '# item ' || item_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '## first' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || '## second' || chr(10) || chr(10) AS report FROM benchmark""")
 def report_markdown(spark, sf):
     """SCL28."""
     findings = F.array(F.struct(F.lit("first").alias("summary"), F.lit("one").alias("explanation")), F.struct(F.lit("second").alias("summary"), F.lit(None).cast("string").alias("explanation")))
-    return table(spark, sf, "benchmark").select("item_id", text.report_markdown(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.left("text", F.lit(20)), findings).alias("report"))
+    return table(spark, sf, "benchmark").select("item_id", text.report_markdown(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.col("text"), findings).alias("report"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
