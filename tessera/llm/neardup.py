@@ -31,6 +31,8 @@ from tessera.session import stage_table, unstage
 SHINGLE = 4
 PERCENT = 85
 BITS = 1024  # of every set's sketch; larger sets have one of at least as many bits as shingles besides
+#: Documents that a verification may look up by a broadcast of their ids (24 bytes each); more are joined by a shuffle of the texts.
+BROADCAST = 1 << 20
 PIVOTS = 4  # orders of nodes by which the pivots of keys are chosen
 GROWTH = 1.5  # of a band's upper size over its lower size
 _CHUNK = 1 << 20  # bytes of text that are hashed in one go
@@ -297,7 +299,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, s
                 nodes = batch.column(0).slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in shingle_sets(texts, size)], pa.list_(pa.int64()))], schema=schema)
 
-    texts = docs.join(wanted, (docs["doc_id"] == wanted["rep"]) & (F.xxhash64(docs["text"]) == wanted["version"])).select("node", "text")
+    few = wanted.count() <= BROADCAST
+    texts = docs.join(F.broadcast(wanted) if few else wanted, (docs["doc_id"] == wanted["rep"]) & (F.xxhash64(docs["text"]) == wanted["version"])).select("node", "text")
     sets = stage_table((texts.dropDuplicates(["node"]) if repeated else texts).mapInArrow(run, "node long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
