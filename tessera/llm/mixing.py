@@ -28,7 +28,7 @@ MOST_COPIES = 3
 #: Expected copies go with this power of a document's size.
 TILT = 0.25
 #: Strata to a doubling of size, bins of a stratum's ranks, and corrections of the samples' sizes.
-STEPS, BINS, CORRECTIONS = 2, 1 << 10, 3
+STEPS, BINS, CORRECTIONS = 2, 1 << 10, 2
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
