@@ -993,3 +993,6 @@ def report_markdown(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longtail_communities(spark, sf_dir)
+
+
+from tessera.plans import stored  # noqa: E402,F401  its queries register themselves

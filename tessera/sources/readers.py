@@ -45,14 +45,19 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of GraphML files: ids unquoted and lower case, descriptions cut to 500 and 300 characters,
     types and weights with defaults. Attribute keys are the names declared in the file's ``key`` elements."""
     data = "data array<struct<_VALUE: string, _key: string>>"
-    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string").load(path)
-    names = F.broadcast(keys.agg(F.map_from_entries(F.collect_list(F.struct("_id", "`_attr.name`"))).alias("names")))  # one row
-    attributes = lambda rows: rows.join(names, F.lit(True)).withColumn("a", F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]), d["_VALUE"]))))
+    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string").load(path)
+
+    def attributes(rows: DataFrame, kind: str) -> DataFrame:
+        mine = keys.where(F.col("_for").isin(kind, "all") | F.col("_for").isNull())
+        names = F.broadcast(mine.agg(F.map_from_entries(F.collect_set(F.struct("_id", "`_attr.name`"))).alias("names")))  # one row
+        named = F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]), d["_VALUE"]))
+        return rows.join(names, F.lit(True)).withColumn("a", F.map_from_entries(named))
+
     get = lambda k: F.try_element_at("a", F.lit(k))
     bare = lambda c: F.lower(strip(strip_chars(c, '"')))
-    nodes = attributes(spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path))
+    nodes = attributes(spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path), "node")
     nodes = nodes.select(bare(F.col("_id")).alias("name"), F.coalesce(get("entity_type"), F.lit(V.NO_TYPE)).alias("type_raw"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(500)).alias("description"), get("source_id").alias("source_id"))
-    edges = attributes(spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path))
+    edges = attributes(spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path), "edge")
     edges = edges.select(bare(F.col("_source")).alias("head"), bare(F.col("_target")).alias("tail"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(300)).alias("description"), F.coalesce(get("weight").try_cast("double"), F.lit(1.0)).alias("weight"))
     return nodes, edges
 

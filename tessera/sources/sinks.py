@@ -50,14 +50,14 @@ def append_metrics(metrics: DataFrame, path: str, digits: int = 6) -> None:
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Lines of GraphML: header, nodes, edges, footer, in files whose order is the document's."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    data = lambda cols: F.concat(F.lit(""), *(F.concat(F.lit(f'<data key="{c}">'), esc(c), F.lit("</data>")) for c in cols))
+    data = lambda kind, cols: F.concat(F.lit(""), *(F.concat(F.lit(f'<data key="{kind}_{c}">'), esc(c), F.lit("</data>")) for c in cols))
     nf, ef = [c for c in nodes.columns if c != "node"], [c for c in edges.columns if c not in ("src", "tgt")]
     spark = nodes.sparkSession
-    declared = "".join(f'<key id="{c}" for="{k}" attr.name="{c}" attr.type="string"/>' for k, cs in (("node", nf), ("edge", ef)) for c in cs)
+    declared = "".join(f'<key id="{k}_{c}" for="{k}" attr.name="{c}" attr.type="string"/>' for k, cs in (("node", nf), ("edge", ef)) for c in cs)
     head = spark.createDataFrame([(0, f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{declared}<graph edgedefault="undirected">')], "part int, value string")
     tail = spark.createDataFrame([(3, "</graph></graphml>")], "part int, value string")
-    body = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), esc("node"), F.lit('">'), data(nf), F.lit("</node>")).alias("value"))
-    more = edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("tgt"), F.lit('">'), data(ef), F.lit("</edge>")).alias("value"))
+    body = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), esc("node"), F.lit('">'), data("node", nf), F.lit("</node>")).alias("value"))
+    more = edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("tgt"), F.lit('">'), data("edge", ef), F.lit("</edge>")).alias("value"))
     head.unionByName(body).unionByName(more).unionByName(tail).repartitionByRange("part", "value").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
 
 
