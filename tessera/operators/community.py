@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,52 +14,86 @@ from tessera.operators.components import connected_components
 from tessera.session import stage_table
 
 
-def _local_moves(adj: dict, label: dict, rounds: int = 10) -> dict:
-    """One level of modularity moves over a small weighted graph, in the order of nodes."""
+def _local_moves(adj: dict, label: dict, within: dict | None = None) -> dict:
+    """Leiden's moves of nodes between neighbouring clusters while modularity grows, on a small weighted graph. A queue
+    holds the nodes whose surroundings changed. ``within``: clusters that moves stay inside (then only nodes that are
+    alone and well connected to the rest of their cluster move, which is the refinement)."""
     strength = {v: sum(ws.values()) for v, ws in adj.items()}
     twice = sum(strength.values()) or 1.0
     total: dict = {}
+    size: dict = {}
     for v, c in label.items():
         total[c] = total.get(c, 0.0) + strength[v]
-    for _ in range(rounds):
-        moved = False
-        for v in sorted(adj):
-            own = label[v]
-            total[own] -= strength[v]
-            links: dict = {}
-            for u, w in adj[v].items():
-                if u != v:
-                    links[label[u]] = links.get(label[u], 0.0) + w
-            best = max(sorted(links), key=lambda c: links[c] - strength[v] * total[c] / twice, default=own)
-            gain = links.get(best, 0.0) - strength[v] * total.get(best, 0.0) / twice
-            stay = links.get(own, 0.0) - strength[v] * total[own] / twice
-            if gain > stay + 1e-12:
-                label[v], moved = best, True
-            total[label[v]] = total.get(label[v], 0.0) + strength[v]
-        if not moved:
-            break
+        size[c] = size.get(c, 0) + 1
+    outer: dict = {}
+    if within:
+        for v, c in within.items():
+            outer[c] = outer.get(c, 0.0) + strength[v]
+    work = deque(sorted(adj))
+    queued = set(work)
+    while work:
+        v = work.popleft()
+        queued.discard(v)
+        own, links = label[v], {}
+        for u, w in adj[v].items():
+            if u != v and (within is None or within[u] == within[v]):
+                links[label[u]] = links.get(label[u], 0.0) + w
+        if within is not None:
+            rest = outer[within[v]] - strength[v]
+            if size[own] > 1 or sum(links.values()) < strength[v] * rest / twice - 1e-12:
+                continue
+        total[own] -= strength[v]
+        stay = links.get(own, 0.0) - strength[v] * total[own] / twice
+        best = max(sorted(links), key=lambda c: links[c] - strength[v] * total[c] / twice, default=own)
+        if links.get(best, 0.0) - strength[v] * total[best] / twice > stay + 1e-12:
+            size[own] -= 1
+            size[best] += 1
+            label[v] = best
+            if within is None:
+                for u in adj[v]:
+                    if label[u] != best and u not in queued:
+                        queued.add(u)
+                        work.append(u)
+        total[label[v]] += strength[v]
     return label
 
 
 def _clusters(adj: dict) -> dict:
-    """Node to cluster (its smallest node) by repeated moves and contraction."""
-    member = {v: v for v in adj}
-    graph = adj
+    """Node to cluster (its smallest node) by the Leiden method (Traag et al. 2019): moves, refinement of each cluster from
+    single nodes, contraction by the refined clusters with the moves' clusters as a start, and again. Refined clusters
+    grow along links only, so a cluster is connected. The merge with the largest gain is taken instead of a random one, so
+    that runs agree."""
+    member = {v: v for v in adj}  # node to node of the contracted graph
+    graph, label = adj, {v: v for v in adj}
     while True:
-        label = _local_moves(graph, {v: v for v in graph})
+        label = _local_moves(graph, label)
         if len({*label.values()}) == len(graph):
             break
-        member = {v: label[c] for v, c in member.items()}
+        fine = _local_moves(graph, {v: v for v in graph}, label)
+        if len({*fine.values()}) == len(graph):
+            fine = label  # nothing was refined: contract by the clusters themselves
+        member = {v: fine[c] for v, c in member.items()}
         nxt: dict = {}
         for v, ws in graph.items():
-            row = nxt.setdefault(label[v], {})
+            row = nxt.setdefault(fine[v], {})
             for u, w in ws.items():
-                row[label[u]] = row.get(label[u], 0.0) + w
+                row[fine[u]] = row.get(fine[u], 0.0) + w
+        first: dict = {}
+        for v in sorted(graph):
+            first.setdefault(label[v], fine[v])
+        label = {fine[v]: first[label[v]] for v in graph}
         graph = nxt
-    small: dict = {}
-    for v, c in member.items():
-        small[c] = min(v, small.get(c, v))
-    return {v: small[c] for v, c in member.items()}
+    found = {v: label[c] for v, c in member.items()}
+    out: dict = {}
+    for v in sorted(adj):  # the connected part of its cluster that a node is in, by its smallest node
+        if v not in out:
+            out[v], stack = v, [v]
+            while stack:
+                for u in adj[stack.pop()]:
+                    if u not in out and found[u] == found[v]:
+                        out[u] = v
+                        stack.append(u)
+    return out
 
 
 def _hierarchy(edges: pd.DataFrame, most: int, levels: int) -> list[tuple]:
@@ -87,7 +123,7 @@ def _hierarchy(edges: pd.DataFrame, most: int, levels: int) -> list[tuple]:
 
 
 def hierarchical_communities(edges: DataFrame, max_cluster_size: int = 10, levels: int = 10, largest_only: bool = True) -> DataFrame:
-    """``node``, ``level``, ``cluster``: nested clusters by modularity, level 0 first.
+    """``node``, ``level``, ``cluster``: nested clusters by the Leiden method on modularity, level 0 first.
 
     Clusters of more than ``max_cluster_size`` nodes are clustered again below. Components are clustered on
     their own; with ``largest_only`` only the largest has clusters. A component is one task's work, as the

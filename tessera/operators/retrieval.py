@@ -25,20 +25,55 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 20, threshold:
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 20, threshold: float | None = 0.2, key: Column | None = None) -> DataFrame:
-    """Exact top-k for a stated set of queries (``query_id``, ``vector``) against all vectors (``id``, ``vector``).
+#: Vectors of a block, and queries that meet it at once.
+BLOCK, ASKED = 8192, 4096
 
-    Queries visit every block of vectors: an equi-join on the block number, so vectors aren't all paired in one
-    place, and what is kept of each block is at most k rows of a query.
+
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 20, threshold: float | None = 0.2) -> DataFrame:
+    """Exact top-k for a stated set of queries (``query_id``, ``vector``) against all vectors (``id``, ``vector``), which have
+    one length. Null and zero vectors take no part; ties go to the smaller id.
+
+    Blocks of vectors meet blocks of queries in tasks of bounded size, and at most k rows of a query leave each.
     """
-    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = vectors.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("id", F.col("vector").alias("v"), "__b")
-    q = queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    rows = q.join(v, "__b").withColumn("score", cosine(F.col("q"), F.col("v"))).where("score is not null")
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    usable = lambda c: F.col(c).isNotNull() & F.exists(c, lambda x: x != 0) & F.forall(c, lambda x: x.isNotNull())
+    v = vectors.where(usable("vector")).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    q = queries.where(usable("vector")).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks, groups = max(1, -(-v.count() // BLOCK)), max(1, -(-q.count() // ASKED))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("g", each(groups))
+    q = q.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("b", each(blocks))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def best(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"query_id": [], "id": [], "score": []}
+        if len(own) and len(asked):
+            ids, x, y = own["id"].to_pylist(), matrix(own["vector"]), matrix(asked["vector"])
+            size = np.sqrt(np.einsum("ij,ij->i", x, x))
+            rank = np.empty(len(ids), np.int64)
+            rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+            for name, one in zip(asked["query_id"].to_pylist(), y):
+                score = np.einsum("ij,j->i", x, one) / (size * np.sqrt(one @ one))
+                at = np.arange(len(score)) if threshold is None else np.flatnonzero(score >= threshold)
+                if len(at) > k:
+                    least = np.partition(score[at], len(at) - k)[len(at) - k]
+                    at = at[score[at] >= least]
+                for i in at[np.lexsort((rank[at], -score[at]))][:k].tolist():
+                    out["query_id"].append(name)
+                    out["id"].append(ids[i])
+                    out["score"].append(float(score[i]))
+        types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+        return pa.table({"query_id": pa.array(out["query_id"], types[kind[1]]), "id": pa.array(out["id"], types[kind[0]]), "score": pa.array(out["score"], pa.float64())})
+
+    rows = v.groupBy("b", "g").cogroup(q.groupBy("b", "g")).applyInArrow(best, f"query_id {kind[1]}, id {kind[0]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.select("query_id", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lsh_topk(vectors: DataFrame, query: list[float], k: int = 20, tables: int = 8, width: float = 1.0, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict, deque
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import community, graph, retrieval
 from tessera.operators.community import hierarchical_communities, sub_communities
 from tessera.operators.components import connected_components
 
@@ -112,3 +112,73 @@ def test_upsert_keeps_what_is_not_given(spark):
     old = spark.createDataFrame([("a", "x", "p"), ("b", "y", "q")], "k string, u string, v string")
     new = spark.createDataFrame([("a", "z", None), ("c", "w", "r")], "k string, u string, v string")
     assert sorted(map(tuple, graph.upsert(old, new, ["k"]).collect())) == [("a", "z", "p"), ("b", "y", "q"), ("c", "w", "r")]
+
+
+def _modularity(adj, label):
+    twice = sum(sum(ws.values()) for ws in adj.values())
+    inside, total = Counter(), Counter()
+    for v, ws in adj.items():
+        for u, w in ws.items():
+            total[label[v]] += w
+            inside[label[v]] += w * (label[u] == label[v])
+    return sum(inside[c] / twice - (total[c] / twice) ** 2 for c in total)
+
+
+def test_leiden_clusters_are_connected_and_as_good_as_planted_ones():
+    for seed in range(12):
+        rng = random.Random(seed)
+        adj = defaultdict(dict)
+
+        def link(a, b, adj=adj):
+            if a != b:
+                adj[a][b] = adj[b][a] = 1.0
+
+        for g in range(8):
+            for i in range(14):
+                link((g, i), (g, (i + 1) % 14))
+                for _ in range(3):
+                    link((g, i), (g, rng.randrange(14)))
+        for _ in range(30):
+            link((rng.randrange(8), rng.randrange(14)), (rng.randrange(8), rng.randrange(14)))
+        label = community._clusters(dict(adj))
+        assert _modularity(adj, label) >= _modularity(adj, {v: v[0] for v in adj}) - 0.005
+        for c in set(label.values()):
+            own = {v for v in label if label[v] == c}
+            seen, work = {c}, [c]
+            while work:
+                for u in adj[work.pop()]:
+                    if u in own and u not in seen:
+                        seen.add(u)
+                        work.append(u)
+            assert seen == own and c == min(own)
+
+
+def test_leiden_parts_what_is_not_connected():
+    # a hub moves away and leaves two halves of its old cluster without a link
+    rng = random.Random(1)
+    for _ in range(30):
+        adj = defaultdict(dict)
+        for _ in range(60):
+            a, b = rng.randrange(25), rng.randrange(25)
+            if a != b:
+                adj[a][b] = adj[b][a] = rng.random()
+        label = community._clusters(dict(adj))
+        for c in set(label.values()):
+            own = {v for v in label if label[v] == c}
+            seen, work = {c}, [c]
+            while work:
+                for u in adj[work.pop()]:
+                    if u in own and u not in seen:
+                        seen.add(u)
+                        work.append(u)
+            assert seen == own
+
+
+def test_approximate_search_finds_the_nearest(spark, data):
+    e = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).cache()
+    hits = total = 0
+    for q in e.where("id % 400 = 7").collect():
+        near = {r["id"] for r in retrieval.vector_topk(e, list(q["vector"]), 20, None).collect()}
+        hits += len(near & {r["id"] for r in retrieval.lsh_topk(e, list(q["vector"]), 20).collect()})
+        total += len(near)
+    assert hits >= 0.9 * total
