@@ -11,13 +11,13 @@ from tessera.llm import neardup
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def sets_of(text):
+def sets_of(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = {k: sets_of(t) for k, t in rows}
+def brute(rows, percent=85, size=4):
+    sets = {k: sets_of(t, size) for k, t in rows}
     parent = {k: k for k in sets}
 
     def root(x):
@@ -27,7 +27,7 @@ def brute(rows):
 
     for a, b in combinations(sorted(sets), 2):
         both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-        if either and 100 * both >= 85 * either:
+        if either and 100 * both >= percent * either:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {k: (len(sets[k]), root(k)) for k in sets}
@@ -154,3 +154,31 @@ def test_keep_one_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept.collect()) == sorted([(0, ""), (0, "one"), (1, ""), (2, ""), (3, " \n"), (4, "one"), (7, "w w")])
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_large_sets_are_told_apart_by_wide_sketches(spark):
+    rng = random.Random(11)
+    passage = [f"common{i}" for i in range(400)]
+    rows = []
+    for i in range(12):  # long texts that share a passage, each with a near copy
+        words = [f"t{i}w{rng.randrange(10**6)}" for _ in range(rng.randrange(2_000, 6_000))]
+        words[100:100] = passage
+        copy = list(words)
+        for _ in range(len(words) // 60):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_wide_sketches_bound_differences_and_fold():
+    rng = np.random.default_rng(12)
+    for n in (1025, 2048, 3000, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        bits = neardup.wide_bits(a)
+        assert 64 * len(bits) >= len(a) and neardup.wide_bits(a[:1024]) is None
+        half = [x ^ y for x, y in zip(bits[: len(bits) // 2], bits[len(bits) // 2 :])]
+        assert half == neardup.parity_bits(a, 32 * len(bits))
+        drop = n // 20
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)]))
+        ones = lambda x: np.unpackbits(np.array(x, np.int64).view(np.uint8))
+        assert (ones(bits) != ones(neardup.parity_bits(b, 64 * len(bits)))).sum() <= len(np.setxor1d(a, b))

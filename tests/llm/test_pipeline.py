@@ -19,7 +19,7 @@ def test_stages(spark, data, tmp_path):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         if name == "near_copies":
-            want = brute([(r["doc_id"], r["text"]) for r in before.collect()])
+            want = brute([(r["doc_id"], r["text"]) for r in before.collect()], 80, 5)
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted({c for _, c in want.values()})
         if name == "mix":
             copies = {r["doc_id"]: r["copies"] for r in mix(before).collect() if r["copies"]}
@@ -53,3 +53,32 @@ def test_near_copies_are_of_five_words_and_80_percent(spark, data):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join(words[::-1]))]
     stage = dict(corpus_pipeline.STAGES)["near_copies"]
     assert sorted(r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()) == [1, 3]
+
+
+ODD = [
+    (1, "the dog and the cat are in the house", "en", "a", 36), (1, "the dog and the cat are in the house", "en", "a", 36), (2, "der Hund und die Katze sind im Haus", "de", None, 35), (3, None, "en", "a", 0),
+    (4, "", None, "b", 0), (5, "... 123", "en", "b", 7), (None, "the cat and the house are in the dog", "en", "a", 36), (6, "the dog has token = abcdefgh12345 here", None, "b", 40), (7, "the house " * 20_000, "en", "c", 200_000),
+]
+
+
+def test_stages_on_odd_tables(spark, data):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.selectExpr("*", *(f"{i} `{c}`" for i, c in enumerate(("node", "key", "size", "copies", "rank", "sig", "version", "ids", "near", "spans", "score", "target", "h", "at"))))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, clashing.limit(0), data)
+        assert empty.count() == 0, name
+        out = stage(spark, clashing, data)
+        if name == "packing":
+            assert verify(out.collect(), [(i, t) for i, t, *_ in ODD]) == 0
+            continue
+        assert out.columns == clashing.columns and empty.columns == clashing.columns, name
+        ids = sorted(((r["doc_id"] or 0), (r["text"] or "")[:8]) for r in out.collect())
+        if name == "language":
+            assert ids == [(0, "the cat "), (1, "the dog "), (1, "the dog "), (2, "der Hund"), (6, "the dog "), (7, "the hous")]
+        elif name == "near_copies":
+            assert ids == [(0, "the cat "), (1, "the dog "), (2, "der Hund"), (3, ""), (4, ""), (5, "... 123"), (6, "the dog "), (7, "the hous")]
+        elif name == "secrets":
+            assert len(ids) == len(ODD)
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}[6] == ("the dog has [SECRET] here", 25)
+        else:
+            assert {i for i, _ in ids} <= {0, 1, 2, 5, 6, 7} and max(ids.count(x) for x in set(ids)) <= 6  # a row that comes twice, three times each
