@@ -117,35 +117,35 @@ def csv_section(header: Sequence[str], rows: Column, cells: Sequence[tuple[str,
 
 def clean_diagnosis(item: Column) -> Column:
     """A diagnosis without wrapping, trailing remarks and lead-in words; empty if it is no diagnosis."""
-    chars = "*_-#。，, []"
+    chars = V.DIAGNOSIS_WRAPPING
     x = strip_chars(strip(item), chars)
     short = F.length(x) < 2
-    x = strip(F.regexp_replace(x, r"[（(][^)）]*[)）]?$", ""))
+    x = strip(F.regexp_replace(x, V.DIAGNOSIS_REMARK, ""))
     x = strip(F.regexp_replace(x, f"^(?:{'|'.join(V.DIAGNOSIS_EXAMPLES)})\\s*", ""))
     x = strip_chars(strip(x), chars)
-    drop = any_of([short, x.rlike(f"^(?:{'|'.join(V.DIAGNOSIS_SKIP_STARTS)})"), x.rlike("|".join(V.DIAGNOSIS_SKIP_PARTS)), x.rlike("[）)]$|^[（(]"), F.length(x) < 2])
+    drop = any_of([short, x.rlike(f"^(?:{'|'.join(V.DIAGNOSIS_SKIP_STARTS)})"), x.rlike("|".join(V.DIAGNOSIS_SKIP_PARTS)), x.rlike(V.DIAGNOSIS_OPEN_BRACKET), F.length(x) < 2])
     return F.when(drop, "").otherwise(x)
 
 
 def extract_diagnoses(text: Column, labels: Sequence[str] = V.DIAGNOSIS_LABELS) -> Column:
     """Distinct diagnoses in order: those in brackets, then those after each label."""
-    plain = F.regexp_replace(text, r"\*{1,3}([^*]+?)\*{1,3}", "$1")
-    plain = F.regexp_replace(plain, r"_{1,2}([^_]+?)_{1,2}", "$1")
-    found = [F.regexp_extract_all(plain, F.lit(r"\[([^\]]+)\]"), F.lit(1))]
-    found += [F.regexp_extract_all(plain, F.lit(f"{label}[：:]\\s*([^\\n]+)"), F.lit(1)) for label in labels]
-    items = F.flatten(F.transform(F.flatten(F.array(*found)), lambda m: F.split(m, "[,，、;；]")))
+    plain = F.regexp_replace(text, V.BOLD, "$1")
+    plain = F.regexp_replace(plain, V.ITALIC, "$1")
+    found = [F.regexp_extract_all(plain, F.lit(V.BRACKETED), F.lit(1))]
+    found += [F.regexp_extract_all(plain, F.lit(label + V.AFTER_LABEL), F.lit(1)) for label in labels]
+    items = F.flatten(F.transform(F.flatten(F.array(*found)), lambda m: F.split(m, V.DIAGNOSIS_SEPARATOR)))
     return F.array_distinct(F.filter(F.transform(items, clean_diagnosis), lambda d: d != ""))
 
 
 def bracket_diagnoses(text: Column) -> Column:
     """Distinct stripped contents of square brackets."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1)), strip))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(V.BRACKETED), F.lit(1)), strip))
 
 
 def ground_truth(text: Column, labels: Sequence[str] = V.TRUTH_LABELS) -> Column:
     """What follows a label at the end of the text, else the bracketed items joined, else the text."""
-    tries = [F.nullif(strip(F.regexp_extract(text, f"{label}[：:]\\s*(.+)$", 1)), F.lit("")) for label in labels]
-    brackets = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    tries = [F.nullif(strip(F.regexp_extract(text, label + V.LAST_AFTER_LABEL, 1)), F.lit("")) for label in labels]
+    brackets = F.regexp_extract_all(text, F.lit(V.BRACKETED), F.lit(1))
     joined = F.when(F.size(brackets) > 0, F.concat(F.lit("["), F.array_join(F.transform(brackets, strip), "], ["), F.lit("]")))
     return F.coalesce(*tries, joined, strip(text))
 
@@ -184,8 +184,8 @@ def is_structured_line(line: Column) -> Column:
     """A line that starts anew: bullets, numbers, headings, tables, capitals, or short."""
     s = strip(line)
     return any_of([
-        s.rlike(r"^[-•·●▪*]"), s.rlike(r"^\d{1,3}[.、)）]"), s.rlike(r"^\([0-9a-zA-Z]+\)"), s.rlike(r"^(?:#|Table|表)"),
-        (s == F.upper(s)) & (s != F.lower(s)), F.length(s) < 20,
+        *(s.rlike(p) for p in V.STRUCTURED_LINES),
+        (s == F.upper(s)) & (s != F.lower(s)), F.length(s) < V.SHORT_LINE,
     ])
 
 
@@ -195,7 +195,7 @@ def normalise_lines(text: Column) -> Column:
 
     def step(acc: Column, raw: Column) -> Column:
         line = strip(raw)
-        fresh = (acc["open"] == "") | is_structured_line(line) | acc["open"].rlike(r"[。．.!?！？:：；;]$")
+        fresh = (acc["open"] == "") | is_structured_line(line) | acc["open"].rlike(V.SENTENCE_END)
         return (
             F.when(line == "", F.struct(F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.lit("").alias("open")))
             .when(fresh, F.struct(F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), line.alias("open")))

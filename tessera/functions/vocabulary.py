@@ -56,3 +56,16 @@ SEPARATORS = ("\n\n", "\r\n\r\n", "\n", "\r\n", "。", "．", ".", "！", "!", "
 FIELD_SEP, TUPLE_DELIMITER, RECORD_DELIMITER, COMPLETION = "<SEP>", "<|>", "##", "<|COMPLETE|>"
 NO_TYPE = "UNKNOWN"
 
+# The patterns by which diagnoses, answers and scanned lines are told.
+DIAGNOSIS_WRAPPING = "*_-#。，, []"
+DIAGNOSIS_REMARK = r"[（(][^)）]*[)）]?$"
+DIAGNOSIS_OPEN_BRACKET = "[）)]$|^[（(]"
+DIAGNOSIS_SEPARATOR = "[,，、;；]"
+BOLD = r"\*{1,3}([^*]+?)\*{1,3}"
+ITALIC = r"_{1,2}([^_]+?)_{1,2}"
+BRACKETED = r"\[([^\]]+)\]"
+AFTER_LABEL = r"[：:]\s*([^\n]+)"
+LAST_AFTER_LABEL = r"[：:]\s*(.+)$"
+STRUCTURED_LINES = (r"^[-•·●▪*]", r"^\d{1,3}[.、)）]", r"^\([0-9a-zA-Z]+\)", r"^(?:#|Table|表)")
+SHORT_LINE = 20
+SENTENCE_END = r"[。．.!?！？:：；;]$"
