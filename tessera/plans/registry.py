@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, parsing, text, vectors
+from tessera.functions import vocabulary as V
 from tessera.operators import alignment, budget, chunking, community, dedup, evaluate, graph, retrieval, reward
 from tessera.operators.components import connected_components
 from tessera.plans import bridge, fusion, sampling
@@ -443,10 +444,22 @@ def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"), ".!?\n")).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+_SEPARATED = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in x) for x in sorted(V.SEPARATORS, key=len, reverse=True))
+
+
+@query(rf"""WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:{_SEPARATED})|(?s).+') AS a FROM documents WHERE text <> ''),
+pieces AS (SELECT doc_id, generate_subscripts(a, 1) AS k, unnest(a) AS p FROM cut),
+gathered AS (SELECT doc_id, k, 0 AS c, length(p) AS n FROM pieces WHERE k = 1
+  UNION ALL SELECT g.doc_id, q.k, CASE WHEN n + length(p) > 1024 THEN c + 1 ELSE c END, CASE WHEN n + length(p) > 1024 THEN length(p) ELSE n + length(p) END FROM gathered g JOIN pieces q ON q.doc_id = g.doc_id AND q.k = g.k + 1),
+chunks AS (SELECT g.doc_id, c, string_agg(p, '' ORDER BY g.k) AS s, count(*) OVER (PARTITION BY g.doc_id) AS of FROM gathered g JOIN pieces q ON q.doc_id = g.doc_id AND q.k = g.k GROUP BY g.doc_id, c),
+placed AS (SELECT doc_id, c, s, of, lag(s) OVER (PARTITION BY doc_id ORDER BY c) AS before FROM chunks),
+made AS (SELECT doc_id, c AS i, CASE WHEN before IS NULL THEN s ELSE left(right(before, 128) || s, 1024) END AS content FROM placed WHERE of > 1 OR length(s) <= 1024
+  UNION ALL SELECT doc_id, x // 896, substr(s, CAST(x + 1 AS INTEGER), 1024) FROM (SELECT doc_id, s, unnest(range(0, length(s), 896)) AS x FROM placed WHERE of = 1 AND length(s) > 1024))
+SELECT 'chunk-' || md5(content) AS chunk_id, doc_id, CAST(i AS BIGINT) AS chunk_order_index, length(content) AS tokens, content FROM made""")
 def separator_chunks(spark, sf):
-    """TX2: a fold over separators; tested against its definition."""
-    return chunking.separator_chunks(table(spark, sf, "documents"), size=1024, overlap=128)
+    """TX2."""
+    out = chunking.separator_chunks(table(spark, sf, "documents"), size=1024, overlap=128)
+    return out.withColumn("chunk_order_index", F.col("chunk_order_index").cast("long")).withColumn("tokens", F.col("tokens").cast("long"))
 
 
 @query()
@@ -455,9 +468,18 @@ def paragraph_chunks(spark, sf):
     return chunking.paragraph_chunks(table(spark, sf, "documents"))
 
 
-@query()
+_STRUCTURED = " OR ".join(f"regexp_matches(s, '{p}')" for p in V.STRUCTURED_LINES) + f" OR (s = upper(s) AND s <> lower(s)) OR length(s) < {V.SHORT_LINE}"
+
+
+@query(rf"""WITH lines AS (SELECT doc_id, generate_subscripts(a, 1) AS k, regexp_replace(unnest(a), '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM documents)),
+after AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY k), '') AS before FROM lines),
+marked AS (SELECT *, CASE WHEN before = '' OR {_STRUCTURED} OR regexp_matches(before, '{V.SENTENCE_END}') THEN 1 ELSE 0 END AS fresh FROM after WHERE s <> ''),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM marked),
+paragraphs AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY k) AS p FROM grouped GROUP BY doc_id, g),
+joined AS (SELECT doc_id, string_agg(p, chr(10) ORDER BY g) AS t FROM paragraphs GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""")
 def line_normalise(spark, sf):
-    """SCL29: a fold over lines; tested against its definition."""
+    """SCL29."""
     return table(spark, sf, "documents").select("doc_id", text.normalise_lines(F.col("text")).alias("text"))
 
 
