@@ -26,9 +26,8 @@ END_ID = 1  # closes each document
 WINDOW = 2048
 #: Tokens that a shard's index covers, and tokens that a partition holds.
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 20, 1 << 23
-#: BM25's parameters and the number of a seed's heaviest terms that make up its query. A query ranks all unused documents
-#: of the shard and those without any of its terms come last, so no document is out of reach.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25's parameters.
+K1, B = 1.2, 0.75
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -133,13 +132,13 @@ class Shard:
         self.size = len(bags)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Each document's score for the seed's heaviest terms."""
-        a, b = self.doc_at[seed], self.doc_at[seed + 1]
-        top = np.arange(a, b) if b - a <= QUERY_TERMS else a + np.argpartition(self.weight[a:b], -QUERY_TERMS)[-QUERY_TERMS:]
-        at = np.searchsorted(self.terms, self.term[top])
-        runs = [(x, y) for x, y in zip(self.first[at].tolist(), self.stop[at].tolist())]
-        docs = np.concatenate([self.postings[x:y] for x, y in runs])
-        return np.bincount(docs, weights=np.concatenate([self.scores[x:y] for x, y in runs]), minlength=self.size)
+        """Each document's score for all of the seed's terms."""
+        at = np.searchsorted(self.terms, self.term[self.doc_at[seed] : self.doc_at[seed + 1]])
+        first, count = self.first[at], self.stop[at] - self.first[at]
+        shared = count > 1  # a term that only the seed has tells of no other
+        first, count = first[shared], count[shared]
+        run = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        return np.bincount(self.postings[run], weights=self.scores[run], minlength=self.size)
 
 
 def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
