@@ -116,7 +116,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The best rule of each distinct ``url``: by confidence, then number of items, support and rule_id.
+    """The best rule of each ``url``: by confidence, then number of items, support and rule_id.
 
     The index has a row for each token of a class that is the rarest of some rule, with all those rules. It meets
     the URLs' tokens in an equi-join, and a rule fits where the URL has a token of each of its classes. The index is
@@ -156,7 +156,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.when(F.max(bad), "block").otherwise("allow").alias("label"))
     labelled = rows.where(F.col("url").contains("://")).join(marks, "page_id").select(tokens_of(F.col("url")).alias("tokens"), "label")
-    urls = rows.select("url").distinct().select("url", tokens_of(F.col("url")).alias("tokens"))
+    # every row is matched where it is read, and equal URLs meet as their best rule alone
+    urls = rows.where("url is not null").select("url", tokens_of(F.col("url")).alias("tokens"))
     labelled = stage_table(labelled, "url-labels")
     found = match(urls, mine(labelled, support, confidence))
     rest = majority(labelled, confidence) or "allow"
