@@ -28,6 +28,8 @@ WINDOW = 2048
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 20, 1 << 23
 #: BM25's parameters.
 K1, B = 1.2, 0.75
+_UNIT = 2.0**-20
+_DENSE = 2048  # documents of a shard up to which scores for common terms are held for all pairs
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -89,7 +91,8 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
             weight = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
-                df[np.unique(ids)] += 1
+                held = np.sort(ids.astype(narrow), kind="stable")  # a radix sort for half-width ids
+                df[held[np.flatnonzero(np.diff(held, prepend=held[:1] + narrow(1)))]] += 1
                 wide = ids.astype(np.uint64)
                 pairs = wide[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[1:] * np.uint64(0xC2B2AE3D27D4EB4F) if len(ids) > 1 else wide
                 pairs = (pairs ^ pairs >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,7 +125,8 @@ class Shard:
         tf = np.diff(np.append(starts, len(codes)))
         doc, self.term = (codes[starts] >> kind(shift)).astype(np.int64), (codes[starts] & kind(mask)).astype(np.int64)
         norm = K1 * (1 - B + B * lengths / mean)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[doc])
+        # whole multiples of a small unit, so that sums are exact in any order
+        self.weight = np.rint(idf[self.term] * tf * (K1 + 1) / (tf + norm[doc]) / _UNIT)
         self.doc_at = np.searchsorted(doc, np.arange(len(bags) + 1))
         order = np.argsort(self.term, kind="stable")
         self.postings, self.scores = doc[order], self.weight[order]
@@ -130,15 +134,30 @@ class Shard:
         self.terms, first = np.unique(terms, return_index=True)
         self.first, self.stop = first, np.append(first[1:], len(terms))
         self.size = len(bags)
+        # a term that only one document has tells of no other; those that many have are scored for all seeds at once
+        count = self.stop - self.first
+        self.listed, self.common = count > 1, None
+        if self.size <= _DENSE:
+            often = np.flatnonzero(count * 8 > self.size)
+            self.listed[often] = False
+            column = np.full(len(self.terms), -1)
+            column[often] = np.arange(len(often))
+            at = column[np.repeat(np.arange(len(self.terms)), count)]
+            there = at >= 0
+            weights = np.zeros((self.size, len(often)))
+            weights[self.postings[there], at[there]] = self.scores[there]
+            held = np.zeros((self.size, len(often)))
+            held[self.postings[there], at[there]] = 1
+            self.common = held @ weights.T
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Each document's score for all of the seed's terms."""
         at = np.searchsorted(self.terms, self.term[self.doc_at[seed] : self.doc_at[seed + 1]])
+        at = at[self.listed[at]]
         first, count = self.first[at], self.stop[at] - self.first[at]
-        shared = count > 1  # a term that only the seed has tells of no other
-        first, count = first[shared], count[shared]
         run = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
-        return np.bincount(self.postings[run], weights=self.scores[run], minlength=self.size)
+        scores = np.bincount(self.postings[run], weights=self.scores[run], minlength=self.size)
+        return (scores if self.common is None else scores + self.common[seed]) * _UNIT
 
 
 def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
