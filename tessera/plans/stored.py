@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing, text
 from tessera.functions import vocabulary as V
 from tessera.operators import dedup
-from tessera.plans import bridge
+from tessera.plans import bridge, fusion
 from tessera.plans.graphrag import GraphRAG
 from tessera.plans.registry import _COS, _with, query
 from tessera.session import shared_folder, stage_table, table
@@ -181,6 +181,26 @@ def rag_insert(spark, sf):
     return rag.graph()[1].select("src", "tgt", "weight", F.size("source_ids").cast("long").alias("chunks"))
 
 
+@query(f"""WITH parts AS (SELECT lower(c_name) AS head, 'located_in' AS relation, lower(n_name) AS tail, 'medical_kg' AS source FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT lower(c_name), CASE WHEN c_nationkey % 2 = 0 THEN 'located_in' ELSE '相关' END, lower(n_name), 'guideline' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0
+  UNION ALL SELECT lower(s_name), CASE WHEN s_nationkey % 2 = 0 THEN 'located_in' ELSE '相关' END, lower(n_name), 'guideline' FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'e_' || left(md5(head), 12) AS start_id, 'e_' || left(md5(tail), 12) AS end_id, relation, string_agg(DISTINCT source, ',' ORDER BY source) AS source FROM parts GROUP BY head, relation, tail""")
+def fusion_run(spark, sf):
+    """Q9: all six steps over two sources that share names; the exported edges."""
+    n = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("place"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("c_name").alias("head"), "place", "c_custkey", F.col("c_nationkey").alias("k"))
+    s_ = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("s_name").alias("head"), "place", F.col("s_nationkey").alias("k"))
+    kind = F.lit(V.DEFAULT_TYPE)
+    told = F.when(F.col("k") % 2 == 0, "is in").otherwise("belongs to")
+    structured = c.select("head", kind.alias("head_type"), F.lit("located_in").alias("relation"), F.col("place").alias("tail"), kind.alias("tail_type"), F.lit("medical_kg").alias("source"))
+    edges = c.where("c_custkey % 3 = 0").select("head", F.col("place").alias("tail"), told.alias("description"), F.lit(1.0).alias("weight")).unionByName(s_.select("head", F.col("place").alias("tail"), told.alias("description"), F.lit(1.0).alias("weight")))
+    nodes = edges.select(F.col("head").alias("name")).union(edges.select("tail")).distinct().select("name", F.lit(V.NO_TYPE).alias("type_raw"), F.lit("").alias("description"), F.lit("c").alias("source_id"))
+    learned = {"relations": spark.createDataFrame([("is in", "located_in")], "description string, relation string")}
+    run = fusion.Fusion(spark, _folder(spark, "fusion"), lambda: structured, lambda: (nodes, edges), learned)
+    run.run()
+    return run._get("edges").select(F.col(":START_ID").alias("start_id"), F.col(":END_ID").alias("end_id"), F.col("relation_name").alias("relation"), "source")
+
+
 # ---------------------------------------------------------------- functions without a query elsewhere
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '疾病' WHEN 1 THEN '症状' WHEN 2 THEN '学到' ELSE '其他治疗' END AS type FROM part""")
