@@ -28,7 +28,7 @@ WINDOW = 2048
 SHARD_TOKENS, PARTITION_TOKENS = 1 << 20, 1 << 23
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-_UNIT = 2.0**-20
+_UNIT = 2.0**-32
 _DENSE = 2048  # documents of a shard up to which scores for common terms are held for all pairs
 
 _ENCODERS: dict[str, tuple] = {}
