@@ -462,10 +462,28 @@ def separator_chunks(spark, sf):
     return out.withColumn("chunk_order_index", F.col("chunk_order_index").cast("long")).withColumn("tokens", F.col("tokens").cast("long"))
 
 
-@query()
+_MARKS = "。！？.!?"
+
+
+@query(rf"""WITH RECURSIVE paragraphs AS (SELECT doc_id, n, trim(x, ' ' || chr(9) || chr(13)) AS p FROM (SELECT doc_id, generate_subscripts(a, 1) AS n, unnest(a) AS x FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS a FROM documents))),
+cut AS (SELECT doc_id, n, length(p) > 3500 AS long, CASE WHEN length(p) > 3500 THEN regexp_extract_all(p, '(?s)[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+') ELSE [p] END AS parts FROM paragraphs WHERE p <> ''),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS k, long, i = 1 AS first, i = of AS last, s FROM (SELECT doc_id, n, long, len(parts) AS of, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM cut)),
+fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, '' AS now, CAST([] AS VARCHAR[]) AS out FROM (SELECT DISTINCT doc_id FROM units)
+  UNION ALL SELECT f.doc_id, u.k,
+    CASE WHEN NOT long THEN CASE WHEN now = '' OR length(now) + length(s) + 1 > 3500 THEN s ELSE now || chr(10) || s END
+         WHEN last OR length(s) > 3500 THEN '' WHEN first THEN s WHEN length(now) + length(s) > 3500 THEN CASE WHEN length(s) + 150 <= 3500 THEN right(now, 150) || s ELSE s END ELSE now || s END,
+    CASE WHEN NOT long THEN CASE WHEN now <> '' AND length(now) + length(s) + 1 > 3500 THEN [now] ELSE [] END
+         ELSE list_concat(CASE WHEN now <> '' AND (first OR length(s) > 3500 OR length(now) + length(s) > 3500) THEN [now] ELSE [] END,
+              CASE WHEN length(s) > 3500 THEN list_transform(range(0, length(s), 3350), lambda x: substr(s, CAST(x + 1 AS INTEGER), 3500))
+                   WHEN NOT last THEN [] WHEN first THEN [s] WHEN length(now) + length(s) > 3500 THEN [CASE WHEN length(s) + 150 <= 3500 THEN right(now, 150) || s ELSE s END] ELSE [now || s] END) END
+  FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.k = f.k + 1),
+emitted AS (SELECT doc_id, k, generate_subscripts(out, 1) AS i, unnest(out) AS content FROM fold
+  UNION ALL SELECT doc_id, k + 1, 1, now FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM fold) WHERE r = 1 AND now <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS chunk_order_index, length(content) AS n_chars, content FROM emitted""")
 def paragraph_chunks(spark, sf):
-    """TX3: a fold over paragraphs and sentences; tested against its definition."""
-    return chunking.paragraph_chunks(table(spark, sf, "documents"))
+    """TX3."""
+    out = chunking.paragraph_chunks(table(spark, sf, "documents"))
+    return out.withColumn("chunk_order_index", F.col("chunk_order_index").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 _STRUCTURED = " OR ".join(f"regexp_matches(s, '{p}')" for p in V.STRUCTURED_LINES) + f" OR (s = upper(s) AND s <> lower(s)) OR length(s) < {V.SHORT_LINE}"
