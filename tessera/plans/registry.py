@@ -718,7 +718,14 @@ def budget_split(spark, sf):
     return a.select("cluster", n.cast("long").alias("for_nodes"), e.cast("long").alias("for_edges"))
 
 
-@query()
+@query(_with(bridge.SIMILARITY, bridge.CLUSTERS) + """, flat AS (SELECT DISTINCT least(src, tgt) AS src, greatest(src, tgt) AS tgt FROM similarity),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM flat UNION ALL SELECT tgt FROM flat) GROUP BY node),
+m AS (SELECT cluster, c.node, degree, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, c.node) - 1 AS id FROM clusters c JOIN deg ON deg.node = c.node),
+e AS (SELECT a.cluster, src, tgt, x.degree + y.degree AS rank, row_number() OVER (PARTITION BY a.cluster ORDER BY x.degree + y.degree DESC, src, tgt) - 1 AS id FROM flat JOIN clusters a ON a.node = src JOIN clusters b ON b.node = tgt AND a.cluster = b.cluster JOIN deg x ON x.node = src JOIN deg y ON y.node = tgt),
+sizes AS (SELECT n.cluster, CAST(floor(800 * n / (n + coalesce(k, 0))) AS BIGINT) AS bn FROM (SELECT cluster, count(*) AS n FROM m GROUP BY cluster) n LEFT JOIN (SELECT cluster, count(*) AS k FROM e GROUP BY cluster) k ON k.cluster = n.cluster),
+ns AS (SELECT m.cluster, string_agg(id || ',' || chr(9) || '"' || node || '",' || chr(9) || '"vector",' || chr(9) || '"vector ' || node || '",' || chr(9) || degree, chr(10) ORDER BY id) AS s FROM m JOIN sizes ON sizes.cluster = m.cluster WHERE 6 * (id + 1) <= bn GROUP BY m.cluster),
+es AS (SELECT e.cluster, string_agg(id || ',' || chr(9) || '"' || src || '",' || chr(9) || '"' || tgt || '",' || chr(9) || '"similar",' || chr(9) || rank, chr(10) ORDER BY id) AS s FROM e JOIN sizes ON sizes.cluster = e.cluster WHERE 5 * (id + 1) <= 800 - bn GROUP BY e.cluster)
+SELECT ns.cluster, '-----Entities-----' || chr(10) || replace('id,node,type,description,degree', ',', ',' || chr(9)) || chr(10) || ns.s || chr(10) || '-----Relationships-----' || chr(10) || coalesce(replace('id,src,tgt,description,rank', ',', ',' || chr(9)) || chr(10) || es.s, '') AS context FROM ns LEFT JOIN es ON es.cluster = ns.cluster""")
 def community_description(spark, sf):
     """Q6: budgeted contexts of communities."""
     edges = stage_table(bridge.similarity_edges(spark, sf), "similarity")
