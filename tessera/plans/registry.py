@@ -11,7 +11,7 @@ from tessera.functions import hashing, parsing, text, vectors
 from tessera.functions import vocabulary as V
 from tessera.operators import alignment, budget, chunking, community, dedup, evaluate, graph, retrieval, reward
 from tessera.operators.components import connected_components
-from tessera.plans import bridge, fusion, sampling
+from tessera.plans import bridge, cleaning, fusion, sampling
 from tessera.session import stage_table, table
 from tessera.sources import sinks
 
@@ -465,7 +465,7 @@ def separator_chunks(spark, sf):
 _MARKS = "。！？.!?"
 
 
-@query(rf"""WITH RECURSIVE paragraphs AS (SELECT doc_id, n, trim(x, ' ' || chr(9) || chr(13)) AS p FROM (SELECT doc_id, generate_subscripts(a, 1) AS n, unnest(a) AS x FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS a FROM documents))),
+_PARAGRAPH_CHUNKS = rf"""WITH RECURSIVE paragraphs AS (SELECT doc_id, n, trim(x, ' ' || chr(9) || chr(13)) AS p FROM (SELECT doc_id, generate_subscripts(a, 1) AS n, unnest(a) AS x FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS a FROM documents))),
 cut AS (SELECT doc_id, n, length(p) > 3500 AS long, CASE WHEN length(p) > 3500 THEN regexp_extract_all(p, '(?s)[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+') ELSE [p] END AS parts FROM paragraphs WHERE p <> ''),
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS k, long, i = 1 AS first, i = of AS last, s FROM (SELECT doc_id, n, long, len(parts) AS of, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM cut)),
 fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, '' AS now, CAST([] AS VARCHAR[]) AS out FROM (SELECT DISTINCT doc_id FROM units)
@@ -478,14 +478,32 @@ fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, '' AS now, CAST([] AS VARCHAR[])
                    WHEN NOT last THEN [] WHEN first THEN [s] WHEN length(now) + length(s) > 3500 THEN [CASE WHEN length(s) + 150 <= 3500 THEN right(now, 150) || s ELSE s END] ELSE [now || s] END) END
   FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.k = f.k + 1),
 emitted AS (SELECT doc_id, k, generate_subscripts(out, 1) AS i, unnest(out) AS content FROM fold
-  UNION ALL SELECT doc_id, k + 1, 1, now FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM fold) WHERE r = 1 AND now <> '')
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS chunk_order_index, length(content) AS n_chars, content FROM emitted""")
+  UNION ALL SELECT doc_id, k + 1, 1, now FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM fold) WHERE r = 1 AND now <> ''),
+chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS chunk_order_index, length(content) AS n_chars, content FROM emitted)"""
+
+
+@query(_PARAGRAPH_CHUNKS + " SELECT * FROM chunked")
 def paragraph_chunks(spark, sf):
     """TX3."""
     out = chunking.paragraph_chunks(table(spark, sf, "documents"))
     return out.withColumn("chunk_order_index", F.col("chunk_order_index").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
+@query(_PARAGRAPH_CHUNKS + r""", replied AS (SELECT doc_id, chunk_order_index AS k, length(content) < 60 AS failed, CASE WHEN length(content) < 60 THEN content ELSE trim(regexp_replace(content, '[0-9]+', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) END AS t FROM chunked),
+merged AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY k) AS t, count(*) AS chunks, count(*) FILTER (failed) AS failed FROM replied GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS pos FROM merged),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, x ORDER BY pos) AS n FROM split),
+cleaned AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY pos) AS t FROM counted WHERE n = 1 OR length(trim(x)) < 50 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.t, '') AS text, coalesce(m.chunks, 0) AS chunks, coalesce(m.failed, 0) AS failed, coalesce(length(d.text), 0) AS before_chars, length(coalesce(c.t, '')) AS after_chars, '{"kept": ' || length(left(coalesce(c.t, ''), 3500)) || '}' AS verification
+FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id LEFT JOIN merged m ON m.doc_id = d.doc_id""")
+def cleaned_documents(spark, sf):
+    """TX7: documents cleaned chunk by chunk, some chunks without a reply, merged and verified."""
+    clean = lambda c: F.when(F.length(c) >= 60, F.regexp_replace(c, "[0-9]+", ""))
+    verify = lambda a, b: F.concat(F.lit('so: {"kept": '), F.length(b).cast("string"), F.lit("} fine"))
+    out = cleaning.clean_documents(table(spark, sf, "documents"), clean, verify)
+    return out.select("doc_id", "text", F.col("chunks").cast("long").alias("chunks"), F.size("failed").cast("long").alias("failed"), F.col("before_chars").cast("long").alias("before_chars"), F.col("after_chars").cast("long").alias("after_chars"), "verification")
+
+
 _STRUCTURED = " OR ".join(f"regexp_matches(s, '{p}')" for p in V.STRUCTURED_LINES) + f" OR (s = upper(s) AND s <> lower(s)) OR length(s) < {V.SHORT_LINE}"
 
 
