@@ -754,6 +754,35 @@ def community_description(spark, sf):
     return community.describe(members, inside, 800)
 
 
+@query(_with(bridge.SIMILARITY, bridge.CLUSTERS) + """, flat AS (SELECT DISTINCT least(src, tgt) AS src, greatest(src, tgt) AS tgt FROM similarity),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM flat UNION ALL SELECT tgt FROM flat) GROUP BY node),
+m AS (SELECT cluster, c.node, degree, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, c.node) - 1 AS id FROM clusters c JOIN deg ON deg.node = c.node WHERE level = 0),
+inside AS (SELECT a.cluster, src, tgt, x.degree + y.degree AS rank FROM flat JOIN clusters a ON a.node = src AND a.level = 0 JOIN clusters b ON b.node = tgt AND b.level = 0 AND a.cluster = b.cluster JOIN deg x ON x.node = src JOIN deg y ON y.node = tgt),
+ch AS (SELECT split_part(cluster, '/', 1) AS cluster, cluster AS child, CASE WHEN cluster LIKE '%/0' THEN '1.0' ELSE '0.5' END AS occurrence FROM clusters WHERE level = 1 GROUP BY cluster),
+counted AS (SELECT n.cluster, n, coalesce(k, 0) AS k FROM (SELECT cluster, count(*) AS n FROM m GROUP BY cluster) n LEFT JOIN (SELECT cluster, count(*) AS k FROM inside GROUP BY cluster) k ON k.cluster = n.cluster),
+wide AS (SELECT c.cluster, 21 * count(*) AS used, string_agg(id || ',' || chr(9) || '"' || repeat('word ', 20) || '",' || chr(9) || '-1.0,' || chr(9) || occurrence, chr(10) ORDER BY id) AS s FROM counted c JOIN (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY occurrence DESC, child) - 1 AS id FROM ch) r ON r.cluster = c.cluster WHERE 6 * n + 5 * k > 100 GROUP BY c.cluster),
+sizes AS (SELECT c.cluster, w.s, 100 - coalesce(used, 0) AS rest, CAST(floor((100 - coalesce(used, 0)) * n / (n + k)) AS BIGINT) AS bn FROM counted c LEFT JOIN wide w ON w.cluster = c.cluster),
+e AS (SELECT i.*, row_number() OVER (PARTITION BY i.cluster ORDER BY src % 2 = tgt % 2 AND w.cluster IS NOT NULL, rank DESC, src, tgt) - 1 AS id FROM inside i LEFT JOIN wide w ON w.cluster = i.cluster),
+ns AS (SELECT m.cluster, string_agg(id || ',' || chr(9) || '"' || node || '",' || chr(9) || '"vector",' || chr(9) || '"vector ' || node || '",' || chr(9) || degree, chr(10) ORDER BY id) AS s FROM m JOIN sizes ON sizes.cluster = m.cluster WHERE 6 * (id + 1) <= bn GROUP BY m.cluster),
+es AS (SELECT e.cluster, string_agg(id || ',' || chr(9) || '"' || src || '",' || chr(9) || '"' || tgt || '",' || chr(9) || '"similar",' || chr(9) || rank, chr(10) ORDER BY id) AS s FROM e JOIN sizes ON sizes.cluster = e.cluster WHERE 5 * (id + 1) <= rest - bn GROUP BY e.cluster)
+SELECT sizes.cluster, CASE WHEN sizes.s IS NULL THEN '' ELSE '-----Reports-----' || chr(10) || replace('id,report,rating,importance', ',', ',' || chr(9)) || chr(10) || sizes.s || chr(10) END
+  || '-----Entities-----' || chr(10) || coalesce(replace('id,node,type,description,degree', ',', ',' || chr(9)) || chr(10) || ns.s, '') || chr(10) || '-----Relationships-----' || chr(10) || coalesce(replace('id,src,tgt,description,rank', ',', ',' || chr(9)) || chr(10) || es.s, '') AS context
+FROM sizes LEFT JOIN ns ON ns.cluster = sizes.cluster LEFT JOIN es ON es.cluster = sizes.cluster WHERE sizes.s IS NOT NULL OR ns.s IS NOT NULL""")
+def community_description_by_parts(spark, sf):
+    """OR13, Q6: contexts that begin with the reports of a community's parts where not all of it fits."""
+    edges = stage_table(bridge.similarity_edges(spark, sf), "similarity")
+    of = graph.simple_degrees(edges)
+    c = bridge.clusters(spark, sf)
+    top = c.where("level = 0")
+    members = top.join(of, "node").select("cluster", "node", F.lit("vector").alias("type"), F.concat(F.lit("vector "), F.col("node").cast("string")).alias("description"), "degree")
+    inside = graph.induced_edges(top, edges, "cluster").join(graph.edge_degrees(edges, of), ["src", "tgt"]).withColumn("description", F.lit("similar"))
+    parts = c.where("level = 1")
+    own = graph.induced_edges(parts, edges, "cluster").groupBy("cluster").agg(F.collect_list(F.struct(F.col("src").alias("a"), F.col("tgt").alias("b"))).alias("child_edges"))
+    children = parts.groupBy("cluster").agg(F.collect_list("node").alias("child_nodes")).join(own, "cluster", "left")
+    children = children.select(F.element_at(F.split("cluster", "/"), 1).alias("parent"), F.col("cluster").alias("child"), F.repeat(F.lit("word "), F.lit(20)).alias("report"), F.lit(None).cast("double").alias("rating"), F.when(F.col("cluster").endswith("/0"), 1.0).otherwise(0.5).alias("occurrence"), "child_nodes", "child_edges")
+    return community.describe(members, inside, 100, children)
+
+
 @query()
 def hierarchical_communities(spark, sf):
     """GR6: nested clusters; tested by their invariants."""
