@@ -41,11 +41,17 @@ def standardise(rows: DataFrame) -> DataFrame:
     ).dropna(subset=["head", "relation", "tail"])
 
 
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Elements of XML documents that may go over several files. Spark's default parser takes a file for a document: of a file
+    without a single root, or with no such element, it gives one null row instead. The legacy parser looks for the tags."""
+    return spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True).schema(schema).load(path)
+
+
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of GraphML files: ids unquoted and lower case, descriptions cut to 500 and 300 characters,
     types and weights with defaults. Attribute keys are the names declared in the file's ``key`` elements."""
     data = "data array<struct<_VALUE: string, _key: string>>"
-    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string").load(path)
+    keys = _elements(spark, path, "key", "_id string, _for string, `_attr.name` string")
 
     def attributes(rows: DataFrame, kind: str) -> DataFrame:
         mine = keys.where(F.col("_for").isin(kind, "all") | F.col("_for").isNull())
@@ -57,7 +63,7 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     bare = lambda c: F.lower(strip(strip_chars(c, '"')))
     nodes = attributes(spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path), "node")
     nodes = nodes.select(bare(F.col("_id")).alias("name"), F.coalesce(get("entity_type"), F.lit(V.NO_TYPE)).alias("type_raw"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(500)).alias("description"), get("source_id").alias("source_id"))
-    edges = attributes(spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path), "edge")
+    edges = attributes(_elements(spark, path, "edge", f"_source string, _target string, {data}"), "edge")
     edges = edges.select(bare(F.col("_source")).alias("head"), bare(F.col("_target")).alias("tail"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(300)).alias("description"), F.coalesce(get("weight").try_cast("double"), F.lit(1.0)).alias("weight"))
     return nodes, edges
 

@@ -32,6 +32,24 @@ def test_graphml_is_written_as_it_is_read(spark, tmp_path):
     assert [(r["head"], r["tail"], r["weight"]) for r in links.collect()] == [("a<b", "c&d", 2.0)]
 
 
+@pytest.fixture
+def graphml_in_files(spark, tmp_path):
+    nodes = spark.range(40).selectExpr("'n' || id as node", "'t' || id as entity_type")
+    edges = spark.range(40).selectExpr("'n' || id as src", "'m' || id as tgt", "double(id) as weight")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_graphml(nodes, edges, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 2
+    return str(tmp_path / "out")
+
+
+def test_edges_of_graphml_in_several_files(spark, graphml_in_files):
+    edges = readers.graphml(spark, graphml_in_files)[1]
+    assert sorted((r["weight"], r["head"], r["tail"]) for r in edges.collect()) == [(i, f"n{i}", f"m{i}") for i in range(40)]
+
+
 def test_structured_triples_and_missing_values(spark, tmp_path):
     (tmp_path / "t.csv").write_text("entity1_norm,entity1_type,relation_canonical,entity2_norm,entity2_type\n Lung Cancer ,疾病,药物治疗,Drug,西药\nnull,疾病,症状,x,\nfoo,预后,新关系,bar,\n")
     got = readers.structured_triples(spark, str(tmp_path / "t.csv")).collect()
