@@ -61,7 +61,7 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     get = lambda k: F.try_element_at("a", F.lit(k))
     bare = lambda c: F.lower(strip(strip_chars(c, '"')))
-    nodes = attributes(spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path), "node")
+    nodes = attributes(_elements(spark, path, "node", f"_id string, {data}"), "node")
     nodes = nodes.select(bare(F.col("_id")).alias("name"), F.coalesce(get("entity_type"), F.lit(V.NO_TYPE)).alias("type_raw"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(500)).alias("description"), get("source_id").alias("source_id"))
     edges = attributes(_elements(spark, path, "edge", f"_source string, _target string, {data}"), "edge")
     edges = edges.select(bare(F.col("_source")).alias("head"), bare(F.col("_target")).alias("tail"), F.left(F.coalesce(get("description"), F.lit("")), F.lit(300)).alias("description"), F.coalesce(get("weight").try_cast("double"), F.lit(1.0)).alias("weight"))

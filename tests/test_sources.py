@@ -50,6 +50,11 @@ def test_edges_of_graphml_in_several_files(spark, graphml_in_files):
     assert sorted((r["weight"], r["head"], r["tail"]) for r in edges.collect()) == [(i, f"n{i}", f"m{i}") for i in range(40)]
 
 
+def test_nodes_of_graphml_in_several_files(spark, graphml_in_files):
+    nodes = readers.graphml(spark, graphml_in_files)[0]
+    assert sorted((r["name"], r["type_raw"]) for r in nodes.collect()) == sorted((f"n{i}", f"t{i}") for i in range(40))
+
+
 def test_structured_triples_and_missing_values(spark, tmp_path):
     (tmp_path / "t.csv").write_text("entity1_norm,entity1_type,relation_canonical,entity2_norm,entity2_type\n Lung Cancer ,疾病,药物治疗,Drug,西药\nnull,疾病,症状,x,\nfoo,预后,新关系,bar,\n")
     got = readers.structured_triples(spark, str(tmp_path / "t.csv")).collect()
