@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +41,10 @@ def normal_name(x: Column) -> Column:
     return F.lower(strip(x))
 
 
+#: A character reference that ends in a semicolon.
+_ENDED = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     """All character references of HTML, named and numbered. There are over two thousand names, some of them without a
@@ -47,10 +52,22 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def clean_str(x: Column) -> Column:
-    """Stripped, character references resolved, control characters deleted."""
+def _unescape_ended(text: str) -> str:
+    return _ENDED.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or m[1] + ";" in html5 else m[0], text)
+
+
+@F.pandas_udf(StringType())
+def _unescaped_ended(texts: pd.Series) -> pd.Series:
+    """Those references alone that end in a semicolon."""
+    return texts.map(_unescape_ended, na_action="ignore")
+
+
+def clean_str(x: Column, ended: bool = False) -> Column:
+    """Stripped, character references resolved (with ``ended`` only those that end in a semicolon: of a text that was cut
+    within a reference the rest stays), control characters deleted."""
     bare = strip(x)
-    return F.regexp_replace(F.coalesce(_unescaped(F.when(bare.contains("&"), bare)), bare), r"[\x00-\x1f\x7f-\x9f]", "")
+    resolve = _unescaped_ended if ended else _unescaped
+    return F.regexp_replace(F.coalesce(resolve(F.when(bare.contains("&"), bare)), bare), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 def graph_name(x: Column) -> Column:

@@ -21,6 +21,19 @@ def test_names(value):
     assert value(text.graph_name(F.lit(' "A&amp;B"\x07 '))) == '"A&B"'
 
 
+def test_references_without_a_semicolon(value):
+    raw = F.lit(" a&amp b&amp;amp; &eacute;&#233;&#xe9; &copy2 &ampx; &nosuch; ")
+    assert value(text.clean_str(raw)) == "a& b&amp; ééé ©2 &x; &nosuch;"
+    assert value(text.clean_str(raw, ended=True)) == "a&amp b&amp; ééé &copy2 &ampx; &nosuch;"
+
+
+def test_a_page_that_is_cut_within_a_reference_stays_so(spark, tmp_path):
+    from tessera.plans import registry
+
+    spark.createDataFrame([(1, " <title>x &amp;&amp</title>&lt;&quot;")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r) for r in registry.clean_strings(spark, str(tmp_path)).collect()] == [(1, '<title>x &&amp</title><"')]
+
+
 def test_type_cascade(value):
     assert value(text.guideline_type(F.lit('"治疗方案"'))) == "其他治疗"
     assert value(text.guideline_type(F.lit('" 疾病 "'))) == "疾病"
