@@ -155,13 +155,13 @@ def relation_triples(texts: DataFrame, names: DataFrame, indicators: Sequence[st
     return pairs.select(key, "sid", "a", pick.alias("indicator"), "b").where("indicator is not null")
 
 
-def path_reward(texts: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, indicators: Sequence[str] = V.RELATION_INDICATORS, key: str = "id", text_col: str = "text", marks: str = "。！？\n；;") -> DataFrame:
+def path_reward(texts: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, indicators: Sequence[str] = V.RELATION_INDICATORS, key: str = "id", text_col: str = "text", marks: str = "。！？\n；;", whole: bool = False) -> DataFrame:
     """``key``, ``r_path``: the share of a text's relation triples whose indicator is part of, or holds, a relation name
-    (``relations``: relation) and whose ends are connected within two hops."""
+    (``relations``: relation; with ``whole`` it has to be one) and whose ends are connected within two hops."""
     triples = stage_table(relation_triples(texts, names, indicators, key, text_col, marks), "relation-triples")
     # each relation name is held against the list of indicators where it is read
     listed = F.array(*(F.lit(w) for w in indicators))
-    agreed = F.filter(listed, lambda w: w.contains(F.col("relation")) | F.col("relation").contains(w))
+    agreed = F.filter(listed, lambda w: w == F.col("relation") if whole else w.contains(F.col("relation")) | F.col("relation").contains(w))
     valid = relations.select(F.explode(agreed).alias("indicator")).distinct().withColumn("__ok", F.lit(1))
     hops = connected_within_two(triples, edges).join(valid, "indicator", "left")
     score = hops.groupBy(key).agg(F.avg((F.col("hops").isNotNull() & F.col("__ok").isNotNull()).cast("double")).alias("r"))

@@ -35,6 +35,13 @@ def test_path_cases(spark, graph):
     assert dict(reward.path_reward(t, *graph, known).collect()) == pytest.approx({1: 1.0, 2: 0.0, 3: 0.5})
 
 
+def test_an_indicator_that_holds_a_relation_is_not_it(spark, graph):
+    t = spark.createDataFrame([(1, "肺癌引起了咳嗽"), (2, "肺癌引起咳嗽")], "id long, text string")
+    known = spark.createDataFrame([("引起",)], "relation string")
+    paths = lambda whole: dict(reward.path_reward(t, *graph, known, ("引起了", "引起"), whole=whole).collect())
+    assert paths(True) == pytest.approx({1: 0.0, 2: 1.0}) and paths(False) == pytest.approx({1: 1.0, 2: 1.0})
+
+
 def test_unknown_answer_earns_nothing(spark, graph):
     texts = spark.createDataFrame([(1, "我不知道"), (2, "最终答案：[肺癌]")], "id long, text string")
     refs = spark.createDataFrame([(1, ["肺癌"]), (2, ["肺癌"])], "id long, ref array<string>")
