@@ -172,12 +172,12 @@ def total_reward(parts: DataFrame, weights: tuple[float, float, float] = (0.5, 0
     return F.col("r_dx") * weights[0] + F.col("r_graph") * weights[1] + F.col("r_path") * weights[2]
 
 
-def rewards(texts: DataFrame, references: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), key: str = "id", predictions: Column | None = None, indicators: Sequence[str] = V.RELATION_INDICATORS, claim_marks: str = "。！？\n", path_marks: str = "。！？\n；;") -> DataFrame:
+def rewards(texts: DataFrame, references: DataFrame, names: DataFrame, edges: DataFrame, relations: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), key: str = "id", predictions: Column | None = None, indicators: Sequence[str] = V.RELATION_INDICATORS, claim_marks: str = "。！？\n", path_marks: str = "。！？\n；;", whole: bool = False) -> DataFrame:
     """``key``, the three parts and ``reward``. ``references``: key, ref (array of diagnoses); ``predictions``: of a text (None:
-    the diagnoses it names)."""
+    the diagnoses it names); ``whole``: as in ``path_reward``."""
     from tessera.functions.text import extract_diagnoses
 
     told = extract_diagnoses(F.col("text")) if predictions is None else predictions
     rows = stage_table(texts.join(references, key, "left").select(key, "text", told.alias("pred"), F.coalesce("ref", F.array().cast("array<string>")).alias("ref")), "reward-texts")
-    out = diagnosis_reward(rows, edges, key).join(graph_reward(rows, names, edges, key, marks=claim_marks), key).join(path_reward(rows, names, edges, relations, indicators, key, marks=path_marks), key)
+    out = diagnosis_reward(rows, edges, key).join(graph_reward(rows, names, edges, key, marks=claim_marks), key).join(path_reward(rows, names, edges, relations, indicators, key, marks=path_marks, whole=whole), key)
     return out.withColumn("reward", total_reward(out, weights))

@@ -49,6 +49,15 @@ def test_unknown_answer_earns_nothing(spark, graph):
     assert got == pytest.approx({1: 0.0, 2: 0.5})
 
 
+def test_total_with_whole_relations(spark, graph):
+    texts = spark.createDataFrame([(1, "肺癌引起了咳嗽")], "id long, text string")
+    refs, known = spark.createDataFrame([(1, ["手术"])], "id long, ref array<string>"), spark.createDataFrame([("引起",)], "relation string")
+    total = lambda whole: reward.rewards(texts, refs, *graph, known, indicators=("引起了", "引起"), whole=whole).first()
+    loose, strict = total(False), total(True)
+    assert (loose["r_path"], strict["r_path"]) == (1.0, 0.0) and loose["r_graph"] == strict["r_graph"] == 1.0
+    assert loose["reward"] - strict["reward"] == pytest.approx(0.2)
+
+
 def test_set_metrics(spark):
     rows = spark.createDataFrame([([], []), ([], ["a"]), (["a", "b"], ["b"])], "pred array<string>, gold array<string>")
     got = evaluate.set_metrics(rows).collect()
