@@ -2,7 +2,7 @@
 
 A vector is turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard
 transform) and falls to the nearest signed axis of each; its code in a table is the axes of a few
-rotations, more of them for larger tables. A query probes the codes whose axes lie nearest to it and
+rotations, as many at any size of the table. A query probes the codes whose axes lie nearest to it and
 reranks what it finds by exact cosine. In Spark, vectors and probes meet in a join by table and bucket (a
 code without its last axis); buckets of many vectors, copies say, are split into parts and those of many
 probes into blocks, so no group outgrows a task. The share of codes that a query probes falls with a
@@ -25,8 +25,8 @@ from tessera.session import stage_table
 PART, BLOCK = 8192, 16384
 #: Tables; and the share of a table's codes that a query probes, SHARE * (vectors / 500) ** -FALL.
 TABLES, SHARE, FALL = 4, 0.2, 0.25
-#: Vectors beyond which a code has three axes instead of two.
-MANY = 1 << 20
+#: Axes of a code.
+AXES = 2
 _ROWS = 256  # queries that are scored at once
 
 
@@ -61,11 +61,6 @@ def axis(turned: np.ndarray) -> np.ndarray:
     return np.where(turned[np.arange(len(turned)), i] >= 0, i, i + turned.shape[1])
 
 
-def axes_of(vectors: int) -> int:
-    """Axes of a code."""
-    return 2 if vectors <= MANY else 3
-
-
 def share_of(vectors: int) -> float:
     """The share of a table's codes that a query probes."""
     return min(1.0, SHARE * (max(vectors, 1) / 500) ** -FALL)
@@ -188,7 +183,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         for batch in batches:
             for n, ids, raw, unit in by_length(batch):
                 for t in range(tables):
-                    turns = rotations(n, t, axes_of(counts[n]), seed)
+                    turns = rotations(n, t, AXES, seed)
                     code, width = codes(unit, turns), 2 * turns[-1].n
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), n), pa.int32()), pa.array(np.full(len(ids), t), pa.int32()), pa.array(code // width), pa.array(code % width, pa.int32()), pa.array(ids), arrays(raw)], schema=point_schema)
 
@@ -197,7 +192,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
             for batch in batches:
                 for n, ids, raw, unit in by_length(batch):
                     for t in range(1 if everywhere else tables):
-                        turns = rotations(n, t, axes_of(counts[n]), seed)
+                        turns = rotations(n, t, AXES, seed)
                         width = 2 * turns[-1].n
                         for at in range(0, len(ids), 64):
                             mine = slice(at, at + 64)

@@ -105,3 +105,9 @@ def test_probes_are_the_nearest_codes():
 def test_the_share_of_probes_falls():
     shares = [ann.share_of(n) for n in (500, 2_000, 10_000, 50_000, 10**6, 10**9)]
     assert shares == sorted(shares, reverse=True) and shares[0] == 0.2 and shares[-1] < 0.006
+
+
+def test_probes_do_not_jump_beyond_a_size():
+    axes = getattr(ann, "axes_of", lambda n: ann.AXES)
+    probed = [ann.share_of(n) * 128 ** axes(n) for n in (500, 50_000, 2**20, 2**20 + 1, 10**7, 10**9)]
+    assert probed == sorted(probed, reverse=True) and probed[2] == pytest.approx(probed[3], rel=1e-3)
