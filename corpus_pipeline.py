@@ -6,13 +6,30 @@ columns, whose names may clash with those that the operators use; all but the la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, neardup, packing, secrets
-from tessera.session import stage_table, table, unstage
+from tessera.session import bound_batches, stage_table, table, unstage
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with rows going to Python in batches of bounded bytes, so that texts of any length leave memory to the rest."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_bounded
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go.
 
@@ -22,6 +39,7 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+@_bounded
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (80 % of five-word shingles) stays: that with the smallest id.
 
@@ -31,6 +49,7 @@ def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return neardup.keep_one(docs, percent=80, size=5)
 
 
+@_bounded
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced, and ``n_chars``, where there is such a column, by the new lengths.
 
@@ -42,6 +61,7 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+@_bounded
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated (three times at most) or left out to meet the sources' targets.
 
@@ -51,6 +71,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+@_bounded
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents are packed into windows: one row for each piece of a document.
 

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes at which a batch of rows for Python ends, unless the session has a bound of its own.
+BATCH_BYTES = 1 << 21
 
 
 def local_session(cpus: str | int = "*", app: str = "tessera", **conf: str) -> SparkSession:
@@ -43,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let rows go to Python in batches of about BATCH_BYTES, from now on and in the whole session.
+
+    Else 10,000 rows go at once, up to 64 MB, and an executor holds several copies of them in each of its tasks: Arrow
+    buffers outside the heap, and in the Python worker the batch, its values and the results. A row longer than the bound
+    is a batch of its own. No result depends on where batches end. A bound that the session has set stays.
+    """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -82,3 +82,25 @@ def test_stages_on_odd_tables(spark, data):
             assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}[6] == ("the dog has [SECRET] here", 25)
         else:
             assert {i for i, _ in ids} <= {0, 1, 2, 5, 6, 7} and max(ids.count(x) for x in set(ids)) <= 6  # a row that comes twice, three times each
+
+
+def test_rows_go_to_python_in_bounded_batches(spark, data):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    large = spark.range(0, 600, 1, 1).selectExpr("id doc_id", "repeat('some words ', 2000) text")
+    small = spark.createDataFrame(ODD[:4], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, small, data)
+        got = large.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 600 and max(r["bytes"] for r in got) < 1 << 22, name
+    # a bound of the session's own stays
+    spark.conf.set(key, "1000000")
+    stage(spark, small, data)
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
