@@ -9,8 +9,9 @@ meets is filtered by the bit sketch's Hamming distance, which for large sets is
 set, and verified on the exact sets.
 
 Copies with equal sets are one node. Links are first looked for between the members of a part's group
-and a pivot of the group; then, across components only, between all others, so that large groups of
-near copies aren't expanded to pairs, and no link that joins components is lost.
+and a pivot of the group, then between those that this left in different components and the group's most central
+member; last, across components only, between all others, each pair by the first of the keys that it shares. So
+large groups of near copies aren't expanded to pairs, and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -34,6 +35,7 @@ BITS = 1024  # of every set's sketch; larger sets have one of at least as many b
 #: Documents that a verification may look up by a broadcast of their ids (24 bytes each); more are joined by a shuffle of the texts.
 BROADCAST = 1 << 20
 PIVOTS = 4  # orders of nodes by which the pivots of keys are chosen
+EARLIER = 8  # keys of a node, before a key, by which a pair is known to have met before
 GROWTH = 1.5  # of a band's upper size over its lower size
 _CHUNK = 1 << 20  # bytes of text that are hashed in one go
 _MET = 1 << 20  # sets that a task remembers, so as not to give their keys again
@@ -309,6 +311,61 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, s
     return links
 
 
+def _open(live: DataFrame, found: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``component`` of the groups of keys whose members are in different components."""
+    labelled = stage_table(live.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    out = stage_table(labelled.join(mixed, "key"), "open")
+    unstage(labelled)
+    return out
+
+
+def _to_centres(open_rows: DataFrame) -> DataFrame:
+    """``a``, ``b``: the nodes of a key's group with its most central one, where that is in another component.
+
+    Central is what is in the groups of most keys: of near copies of one text those with the fewest changes, to which
+    others have the shortest way.
+    """
+    rows = open_rows.join(open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("keys")), "node")
+    centres = rows.groupBy("key").agg(F.max(F.struct("keys", "node", "component")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("its"))
+    met = open_rows.join(centres, "key").where("component <> its")
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def _with_earlier(open_rows: DataFrame) -> DataFrame:
+    """``open_rows`` and in ``earlier`` the EARLIER keys of the node before this one."""
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+    return open_rows.withColumn("earlier", F.collect_list("key").over(before))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b`` and their sizes ``na``, ``nb``: nodes that share a key, are in different components and may be linked by
+    their bit sketches. ``rows``: key, node, component, earlier, n, bits.
+
+    Near copies share most of their keys. A pair is given at the first of them, and again only where none of the EARLIER
+    keys before is shared.
+    """
+
+    def side(name: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"key{name}"), F.col("node").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("component", "earlier", "n", "bits")))
+
+    met = (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb"))
+    return side("a").join(side("b"), met & _near("a", "b", percent) & ~F.arrays_overlap("earliera", "earlierb")).select("a", "b", "na", "nb")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found``, joined by further ``links``; both are unstaged."""
+    pairs = links
+    for end in ("a", "b"):  # what is joined already is one node now
+        pairs = pairs.join(found.select(F.col("node").alias("__n"), "component"), F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("component", end)).drop("__n", "component")
+    joined = stage_table(connected_components(pairs, "a", "b").withColumnsRenamed({"node": "__part", "component": "__whole"}), "joined-components")
+    members = found.join(joined, F.col("component") == F.col("__part"), "left").select("node", F.coalesce("__whole", "component").alias("component"))
+    # nodes that no link has touched before are their own part
+    out = stage_table(members.unionByName(joined.join(found, F.col("__part") == F.col("node"), "left_anti").select(F.col("__part").alias("node"), F.col("__whole").alias("component"))), "components")
+    unstage(found, links, joined)
+    return out
+
+
 def _classes(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, bool]:
     """The sketches of all rows (doc_id, text); ``sig``, ``component`` (a node) and the set's first document (``rep``, ``version``)
     of all sets; and if any rows are equal in id and text."""
@@ -324,35 +381,31 @@ def _classes(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataF
     unstage(whole)
     traits = nodes.select("node", "n", "bits")
 
-    def side(name: str) -> DataFrame:
-        return traits.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
+    def near(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(traits.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")), end)
+        return pairs.where(_near("a", "b", percent)).select("a", "b", "na", "nb")
 
     stars = live.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent)).select("a", "b", "na", "nb")
-    stars = stage_table(_still_near(stars, wide, percent), "star-pairs")
+    stars = stage_table(_still_near(near(stars), wide, percent), "star-pairs")
     links = _verify(stars, nodes, docs, percent, size, repeated)
     found = stage_table(connected_components(links, "a", "b"), "star-components")
     # what stars didn't join: members of a key's group that are in different components
-    labelled = live.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    labelled = stage_table(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = stage_table(labelled.join(mixed, "key").join(traits, "node"), "open")
-    left = open_rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a", "b", percent)).select("a", "b", "na", "nb").distinct()
-    across = stage_table(_still_near(across.join(stars, ["a", "b"], "left_anti"), wide, percent), "cross-pairs")
-    unstage(live, labelled, open_rows, stars, wide)
+    unstage(links)
+    open_rows = _open(live, found)
+    centred = stage_table(_still_near(near(_to_centres(open_rows)).join(stars, ["a", "b"], "left_anti"), wide, percent), "centre-pairs")
+    if centred.limit(1).count():
+        found = _joined(found, _verify(centred, nodes, docs, percent, size, repeated))
+        unstage(open_rows)
+        open_rows = _open(live, found)
+    rows = stage_table(_with_earlier(open_rows).join(traits, "node"), "open-traits")
+    across = _across(rows, percent).distinct().join(stars.unionByName(centred), ["a", "b"], "left_anti")
+    across = stage_table(_still_near(across, wide, percent), "cross-pairs")
+    unstage(live, open_rows, rows, stars, centred, wide)
     if across.limit(1).count():
-        more = _verify(across, nodes, docs, percent, size, repeated)
-        # components of components: what stars have joined is one node now
-        for end in ("a", "b"):
-            more = more.join(found.select(F.col("node").alias("__n"), "component"), F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("component", end)).drop("__n", "component")
-        joined = stage_table(connected_components(more, "a", "b").withColumnsRenamed({"node": "__part", "component": "__whole"}), "joined-components")
-        members = found.join(joined, F.col("component") == F.col("__part"), "left").select("node", F.coalesce("__whole", "component").alias("component"))
-        # nodes that no star link has touched are their own part
-        found = stage_table(members.unionByName(joined.join(found, F.col("__part") == F.col("node"), "left_anti").select(F.col("__part").alias("node"), F.col("__whole").alias("component"))), "components")
+        found = _joined(found, _verify(across, nodes, docs, percent, size, repeated))
     placed = stage_table(nodes.join(found, "node", "left").select("sig", "rep", "version", F.coalesce("component", "node").alias("component")), "placed")
-    unstage(nodes, found, links, across)
+    unstage(nodes, found, across)
     return sketched, placed, repeated
 
 

@@ -182,3 +182,33 @@ def test_wide_sketches_bound_differences_and_fold():
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)]))
         ones = lambda x: np.unpackbits(np.array(x, np.int64).view(np.uint8))
         assert (ones(bits) != ones(neardup.parity_bits(b, 64 * len(bits)))).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(600):  # one to six changed words: many are in reach of a pivot, many of a few others alone
+        copy = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.randrange(150)] = f"c{rng.randrange(10**7)}"
+        rows.append((i, " ".join(copy)))
+    staged, stage_table = {}, neardup.stage_table
+
+    def stage(df, name):
+        out = stage_table(df, name)
+        staged[name] = out.count() if name == "cross-pairs" else 0
+        return out
+
+    monkeypatch.setattr(neardup, "stage_table", stage)
+    assert run(spark, rows) == brute(rows)
+    assert staged["cross-pairs"] < len(rows) // 2
+
+
+def test_pairs_across_components_come_once_though_they_share_many_keys(spark):
+    keys = {1: range(0, 80, 2), 2: range(20, 100), 3: [99, 78, 3], 4: [500], 5: [500]}
+    rows = spark.createDataFrame([(k, n, min(n, 4)) for n, of in keys.items() for k in of], "key long, node long, component long")
+    traits = spark.createDataFrame([(n, 100, [0] * (neardup.BITS // 64)) for n in keys], "node long, n long, bits array<long>")
+    got = sorted((r["a"], r["b"]) for r in neardup._across(neardup._with_earlier(rows).join(traits, "node"), 85).collect())
+    # 2 and 3 share 78 and, with none of the keys in between in common, 99
+    assert sorted(set(got)) == [(1, 2), (1, 3), (2, 3)] and len(got) <= 4
